@@ -31,6 +31,7 @@ RULES = (
 # Stems of the labelled table.
 UNWANTED = "casino bets betting poker jackpot lottery slots pills viagra pharma cheap payday loans xxx adult porn escort dating-hot win-prize free-bets replica crypto-pump hotgirls clickbait adserver tracker popunder warez torrent keygen".split()
 WANTED = "news docs wiki library research museum weather school garden science history recipes forum archive journal university health travel music letters atlas review institute council theatre bridge harbour village printing".split()
+LURES = "win free cheap best online ads track hot x vip bonus deal now fast".split()
 SYLLABLES = "th er in on an re nd ha st ou ti on al en de la que ment sch keit lich ble or ea".split()
 ZONES = ("example.com", "example.org", "example.net")
 LANGS = ("en", "de", "fr", "es")
@@ -46,6 +47,9 @@ def labelled_urls() -> list[tuple[str, int]]:
             prefix = ("", "www.", "m.", "blog.")[(i + j) % 4]
             rows.append((f"http://{prefix}{stem}.{zone}/{LANGS[(i + j) % 4]}/{1000 + 37 * i + j}", 1))
             rows.append((f"https://{prefix}{stem}-{other}.{zone}/{LANGS[(i + 2 * j) % 4]}/{200 + 11 * i}.html", 1))
+            lure = LURES[(i * 5 + j) % len(LURES)]
+            rows.append((f"http://{prefix}{stem}-{lure}.{zone}/{LANGS[(i + 3 * j) % 4]}/{8000 - 13 * i}", 1))
+            rows.append((f"http://{lure}-{stem}.{zone}/{LANGS[i % 4]}/{40 + 7 * i}/", 1))
     for i, stem in enumerate(WANTED + invented):
         for j, zone in enumerate(ZONES):
             prefix = ("", "www.", "m.", "blog.")[(i + 2 * j) % 4]
