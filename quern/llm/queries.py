@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from quern.llm.fingerprint import op1_document_fingerprints
 from quern.llm.langid import op2_language_id
+from quern.llm.packing import op4_packing
 from quern.llm.secret_scan import op8_secret_scans
+from quern.llm.toxicity import op3_toxicity
 from quern.llm.urlfilter import op10_url_filters
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
     "op8_secret_scans": op8_secret_scans,
     "op10_url_filters": op10_url_filters,
 }
