@@ -47,7 +47,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Optimizer's size of the scan below ``df`` (file sizes; no job is run)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 60 else 1 << 30
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quern.llm.fingerprint import op1_document_fingerprints
+from quern.llm import jaccard_join
+from quern.llm.jaccard_join import op6_ngram_jaccard_join
 from quern.llm.langid import op2_language_id
 from quern.llm.packing import op4_packing
 from quern.llm.secret_scan import op8_secret_scans
@@ -14,8 +16,11 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_ngram_jaccard_join": jaccard_join.ORACLE,
+}
