@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from quern.llm.fingerprint import op1_document_fingerprints
-from quern.llm import jaccard_join
+from quern.llm import jaccard_join, substring_dedup
 from quern.llm.jaccard_join import op6_ngram_jaccard_join
 from quern.llm.langid import op2_language_id
 from quern.llm.packing import op4_packing
 from quern.llm.secret_scan import op8_secret_scans
+from quern.llm.substring_dedup import op9_substring_dedup
 from quern.llm.toxicity import op3_toxicity
 from quern.llm.urlfilter import op10_url_filters
 
@@ -18,9 +19,11 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
 ORACLES: dict[str, str] = {
     "op6_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
 }
