@@ -149,13 +149,12 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
 
 def fit_from(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_ROWS) -> Model | None:
     """Train on at most ``sample`` rows of ``df`` that have a text and a label."""
-    rows = (
-        df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-        .select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(text).alias("h"))
-        .orderBy("h", "y")
-        .limit(sample)
-        .collect()
-    )
+    rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(text).alias("h"))
+    # First the hashes alone say which texts are in the sample, then only those are sent; copies count once.
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
+    rows = sorted(rows.filter(F.col("h") <= last).dropDuplicates(["h", "y"]).collect(), key=lambda r: (r["h"], r["y"]))
     return train([r["t"] for r in rows], [r["y"] for r in rows])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.decontam import op7_benchmark_decontamination
 from quern.llm.fingerprint import op1_document_fingerprints
 from quern.llm import jaccard_join, substring_dedup, warc
 from quern.llm.jaccard_join import op6_ngram_jaccard_join
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_secret_scans": op8_secret_scans,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filters": op10_url_filters,

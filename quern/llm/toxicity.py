@@ -12,7 +12,7 @@ weight normalised by a power of its length, its heaviest match, and its length;
 the function is fitted on the same texts with each text's own counts left out.
 
 Fitted on the driver from a bounded sample of labelled rows (``toxic_rows`` and
-``clean_rows``, those with the smallest hash of their text; whole texts).
+``clean_rows``, those with the smallest hash of their id; whole texts).
 Without labels of both kinds every score is 0. Null and empty texts are scored
 as texts without a match. Labels that are null count as missing; a document
 with several labels is used once per label.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import id_fold, table
 
-TOXIC_ROWS = 2500
-CLEAN_ROWS = 4000
+TOXIC_ROWS = 1500
+CLEAN_ROWS = 3000
 MOST_ENTRIES = 8192
 LEAST_SUPPORT = 3
 LEAST_WEIGHT = 2.0
@@ -141,24 +141,28 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
     nt, nn = sum(y for _, y in rows), sum(1 - y for _, y in rows)
     if not nt or not nn:
         return None
-    toxic, clean = Counter(), Counter()
-    sets = []
+    entries = lambda ws: {e for w in set(ws) for e in entries_of(w)}
+    toxic = Counter()
     for ws, y in rows:
-        own = {e for w in set(ws) for e in entries_of(w)}
-        sets.append(own)
-        (toxic if y else clean).update(own)
-    odds = {e: _odds(c, clean[e], nt, nn) for e, c in toxic.items() if c >= LEAST_SUPPORT}
+        if y:
+            toxic.update(entries(ws))
+    toxic = {e: c for e, c in toxic.items() if c >= LEAST_SUPPORT}
+    clean = Counter()
+    for ws, y in rows:
+        if not y:
+            clean.update(entries(ws) & toxic.keys())
+    odds = {e: _odds(c, clean[e], nt, nn) for e, c in toxic.items()}
     chosen = sorted((e for e, w in odds.items() if w >= LEAST_WEIGHT), key=lambda e: (-odds[e], e))[:MOST_ENTRIES]
     weights = {e: round(odds[e], 6) for e in chosen}
     y = np.array([y for _, y in rows], float)
     hits = []
-    for (ws, label), own in zip(rows, sets):
+    for ws, label in rows:
         # This text's own counts left out, so that chance entries earn nothing on it.
         mine = {}
-        for e in own & weights.keys():
-            w = _odds(toxic[e] - label, clean[e] - 1 + label, nt - label, nn - 1 + label) if toxic[e] - label > 0 else 0.0
+        for e in entries(ws) & weights.keys():
+            w = _odds(toxic[e] - label, clean[e] - 1 + label, nt - label, nn - 1 + label) if toxic[e] > label else 0.0
             mine[e] = max(0.0, w)
-        found = [max((mine[e] for e in entries_of(w) if e in mine), default=0.0) for w in ws]
+        found = [max((mine[e] for e in entries_of(w) if e in mine), default=0.0) for w in ws] if mine else []
         hits.append(([w for w in found if w > 0], len(ws)))
     fits = []
     for power in (0.25, 0.5, 0.75, 1.0):
@@ -175,15 +179,17 @@ def hash_of(words: list[str]) -> int:
     return zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
-def fit_from(labelled: DataFrame, text: str = "text", label: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model | None:
-    """Train on at most ``toxic_rows`` + ``clean_rows`` rows of ``labelled``."""
-    texts, labels = [], []
+def fit_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model | None:
+    """Train on at most ``toxic_rows`` + ``clean_rows`` labelled documents. They are
+    chosen from the labels alone, so only their texts are read and sent."""
+    kept = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).alias("__y"))
+    texts, found = [], []
     for y, most in ((1, toxic_rows), (0, clean_rows)):
-        rows = labelled.filter((F.col(label) == y) & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-        got = rows.orderBy("h", "t").limit(most).collect()
-        texts += [r["t"] for r in got]
-        labels += [y] * len(got)
-    return train(texts, labels)
+        chosen = kept.filter(F.col("__y") == y).distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)
+        rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(chosen), "__id").select("t").collect()
+        texts += sorted(r["t"] for r in rows)
+        found += [y] * len(rows)
+    return train(texts, found)
 
 
 def score_toxicity(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -207,13 +213,12 @@ def score_toxicity(df: DataFrame, model: Model | None, text: str = "text") -> Da
     return plain.mapInArrow(run, schema)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, toxic) of the documents in the training folds that have a label."""
-    train_ids = labels.filter(F.col("toxic").isNotNull() & (id_fold("doc_id", 5) != 0)).select("doc_id", "toxic")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(id_fold("doc_id", 5) != 0).join(train_ids, "doc_id")
+def training_labels(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The labels outside the held-out fold."""
+    return labels.filter(id_fold(doc_id, 5) != 0)
 
 
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_from(labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = fit_from(docs, training_labels(table(spark, sf_dir, "labels")))
     return score_toxicity(docs.select("doc_id", (id_fold("doc_id", 5) == 0).alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
