@@ -1,7 +1,75 @@
-"""Corpus pipeline (being filled)."""
-STAGES = []
+"""Corpus pipeline: toxicity, near duplicates, benchmark leaks, secrets, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+each stage's rows as Parquet to the shared folder and reads them again as the
+next one's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm.common import materialise, table
+from quern.llm.decontam import find_leaks
+from quern.llm.jaccard_join import jaccard_groups
+from quern.llm.packing import pack_documents
+from quern.llm.secret_scan import redact_secrets
+from quern.llm.toxicity import fit_from, score_toxicity, training_labels
+
+TOKENIZER = "word_bpe_49k.json"
+BROADCAST_ROWS = 500_000
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the lexicon model, fitted on the training fold's labels, predicts toxic."""
+    model = fit_from(docs, training_labels(table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a 5-word shingle Jaccard similarity of
+    0.75 or more, keep the one with the smallest id. Rows with a null id stay."""
+    groups = jaccard_groups(docs)
+    extra = materialise(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__extra")).distinct())
+    if extra.count() <= BROADCAST_ROWS:
+        extra = F.broadcast(extra)
+    return docs.join(extra, docs["doc_id"] == extra["__extra"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, verbatim or edited."""
+    return find_leaks(docs, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; n_chars follows where a text changes."""
+    clean = redact_secrets(docs.withColumn("__before", F.length("text")))
+    changed = F.col("__before") != F.length("text")
+    n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of at most 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("secret_scans", secrets),
+    ("packing", packing),
+]
+
+#: SQL has no tokenizer, alignment or lexicon model; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return docs
