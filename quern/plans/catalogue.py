@@ -1,7 +1,768 @@
-"""Registry of the engine's own queries (name -> callable) and their SQL."""
+"""Registry of the engine's own queries (name -> callable) and their SQL.
+
+Names begin with the operator's id. Doubles are rounded to 6 places on both
+sides; list results come as rows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import fixed_values as V
+from quern.functions import lists as L
+from quern.functions import text as T
+from quern.functions import vectors as Vec
+from quern.operators import chunking, dense, evidence, fusion, lexical, metrics, sampling, scorers, validate
+from quern.plans import derived as D
+from quern.sources import readers, sinks
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "a5_bm25_documents"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
+
+
+STOP = ", ".join(f"'{w}'" for w in V.INDEX_STOPWORDS)
+ESTOP = ", ".join(f"'{w}'" for w in V.EVIDENCE_STOPWORDS)
+SQL_D = "replace(replace({0}, 'đ', 'd'), 'Đ', 'D')"
+
+
+def sql_tokens(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(strip_accents({SQL_D.format(text)})), '[0-9a-zA-Z_]+'), lambda t: length(t) <= 40 AND t NOT IN ({STOP}))"
+
+
+# --- text functions ---------------------------------------------------------
+
+
+@query("t5_strip_accents", f"SELECT doc_id, sha1(strip_accents({SQL_D.format('text')})) AS base, sha1(lower(strip_accents(text))) AS match_form, sha1(text) AS checksum FROM documents")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    return D.table(spark, sf, "documents").select("doc_id", T.sha1(T.strip_accents(text)).alias("base"), T.sha1(T.match_form(text)).alias("match_form"), T.sha1(text).alias("checksum"))
+
+
+@query("t7_word_counts", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n FROM documents")
+def _(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).cast("bigint").alias("n_words"), F.length("text").cast("bigint").alias("n"))
+
+
+@query("t8_index_tokens", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, sha1(coalesce(array_to_string(t, ' '), '')) AS tokens FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
+def _(spark, sf):
+    t = F.col("t")
+    docs = D.table(spark, sf, "documents").select("doc_id", T.index_tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size(t).cast("bigint").alias("n"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"), T.sha1(F.array_join(t, " ")).alias("tokens"))
+
+
+@query("t9_evidence_tokens", rf"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, sha1(coalesce(array_to_string(t, ' '), '')) AS tokens FROM (SELECT doc_id, list_filter(regexp_extract_all(strip_accents({SQL_D.format('lower(text)')}), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 1 AND t NOT IN ({ESTOP})) AS t FROM documents)")
+def _(spark, sf):
+    docs = D.table(spark, sf, "documents").select("doc_id", T.evidence_tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("bigint").alias("n"), T.sha1(F.array_join("t", " ")).alias("tokens"))
+
+
+@query("t10_plain_tokens", "SELECT doc_id, CAST(len(t) AS BIGINT) AS n, sha1(coalesce(array_to_string(t, ' '), '')) AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+') AS t FROM documents)")
+def _(spark, sf):
+    docs = D.table(spark, sf, "documents").select("doc_id", T.plain_tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("bigint").alias("n"), T.sha1(F.array_join("t", " ")).alias("tokens"))
+
+
+@query("t11_word_tokens", rf"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(strip_accents({SQL_D.format('text')})), '[\p{{L}}\p{{N}}_]+') AS t FROM documents)")
+def _(spark, sf):
+    docs = D.table(spark, sf, "documents").select("doc_id", T.word_tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("bigint").alias("n"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
+
+
+SQL_CLEAN = r"""clean AS (
+  SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(
+      regexp_replace(array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(trim(x), '[-=_.*•\s]{5,}')), lambda x: rtrim(x)), chr(10)),
+        '([A-Za-zÀ-ỹ])- *\n+ *([A-Za-zÀ-ỹ])', '\1\2', 'g'),
+      '([^.!?:;])\n[ \t]*([a-zà-ỹ])', '\1 \2', 'g'), '([^.!?:;])\n[ \t]*([a-zà-ỹ])', '\1 \2', 'g'),
+    '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), ' *\n *', chr(10), 'g'), ' ' || chr(10)) AS c
+  FROM documents
+)"""
+
+
+@query("t2_clean_text", f"WITH {SQL_CLEAN} SELECT doc_id, sha1(c) AS clean, CAST(length(text) AS BIGINT) AS original_chars, CAST(length(c) AS BIGINT) AS clean_chars, CAST(greatest(length(text) - length(c), 0) AS BIGINT) AS removed_chars, CAST(0 AS BIGINT) AS removed_header_lines FROM clean")
+def _(spark, sf):
+    docs = chunking.clean_text(D.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return r6(docs.select("doc_id", T.sha1(F.col("clean_text")).alias("clean"), "cleaning.original_chars", "cleaning.clean_chars", "cleaning.removed_chars", "cleaning.removed_header_lines"))
+
+
+@query("t12_link_names", r"SELECT page_id, trim(regexp_replace(string_split(regexp_replace(url_decode(replace(url, '+', '%2B')), '/+$', ''), '/')[-1], '\.aspx?$', '', 'i')) AS name FROM pages")
+def _(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", T.name_from_link(F.col("url")).alias("name"))
+
+
+@query("t13_passage_names", r"""SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))),
+  lambda x: length(x) BETWEEN 12 AND 220 AND NOT regexp_full_match(x, '[^\p{L}]+'))[1], '') AS name FROM documents""")
+def _(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", T.name_from_passage(F.col("text")).alias("name"))
+
+
+SQL_META = r"""meta AS (
+  SELECT page_id, list_sort(list_distinct(regexp_extract_all(h, '\b(?:19\d{2}|20\d{2})\b'))) AS years,
+    trim(regexp_extract(h, '(?i)\b\d{1,4}/\d{4}/[A-ZĐA-Z0-9.-]+|\b\d{1,5}/[A-ZĐA-Z0-9.-]+|\b\d{1,5}\s*[-/]\s*\d{4}\b')) AS issue_number,
+    contains(lower(strip_accents(h)), 'sua doi') OR contains(lower(strip_accents(h)), 'thay the') AS amendment
+  FROM (SELECT page_id, concat_ws(chr(10), '', url, substr(html, 1, 4000)) AS h FROM pages)
+)"""
+
+
+@query("t14_metadata", f"WITH {SQL_META} SELECT page_id, coalesce(array_to_string(years, ','), '') AS years, issue_number, 'unknown' AS doc_type, amendment FROM meta")
+def _(spark, sf):
+    pages = D.table(spark, sf, "pages").select("page_id", chunking.metadata(F.lit(""), F.col("url"), F.col("html")).alias("m"))
+    return pages.select("page_id", F.array_join("m.years", ",").alias("years"), "m.issue_number", "m.doc_type", F.col("m.has_amendment_signal").alias("amendment"))
+
+
+@query("t15_question_signals", r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(lower(url), '\b(?:19\d{2}|20\d{2})\b'))) AS BIGINT) AS n_years,
+  coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(url, '\b\d{1,5}(?:/\d{4})?(?:/[a-zA-ZĐđ0-9.-]+)?\b'))), ','), '') AS numbers FROM pages""")
+def _(spark, sf):
+    pages = D.table(spark, sf, "pages").select("page_id", chunking.question_signals(F.col("url")).alias("s"))
+    return pages.select("page_id", F.size("s.years").cast("bigint").alias("n_years"), F.array_join(F.array_sort("s.numbers"), ",").alias("numbers"))
+
+
+@query("t16_metadata_rank", rf"""WITH {SQL_META}, q AS (
+  SELECT page_id AS query_id, list_distinct(regexp_extract_all(lower(url), '\b(?:19\d{{2}}|20\d{{2}})\b')) AS years,
+    list_distinct(regexp_extract_all(url, '\b\d{{1,5}}(?:/\d{{4}})?(?:/[a-zA-ZĐđ0-9.-]+)?\b')) AS numbers FROM pages WHERE page_id < 20
+), s AS (
+  SELECT query_id, page_id, 2.0 * len(list_intersect(q.years, meta.years)) + len(list_filter(numbers, lambda n: n <> '' AND contains(lower(issue_number || ' ' || url), lower(n)))) AS score
+  FROM q CROSS JOIN meta JOIN pages USING (page_id)
+)
+SELECT query_id, page_id AS doc_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM s WHERE score > 0""")
+def _(spark, sf):
+    # The twenty first pages' urls are the stated questions, against every page.
+    pages = D.table(spark, sf, "pages")
+    meta = pages.select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("position"), F.col("url").alias("heading"), chunking.metadata(F.lit(""), F.col("url"), F.col("html")).alias("metadata"))
+    asked = pages.filter("page_id < 20").select(F.col("page_id").alias("query_id"), chunking.question_signals(F.col("url")).alias("signals"))
+    ranked = chunking.metadata_rank(meta.crossJoin(F.broadcast(asked)))
+    return r6(ranked.select("query_id", "doc_id", "score", "rank"))
+
+
+@query("t19_windows", f"WITH {D.SQL_WINDOWS} SELECT doc_id, CAST(window_idx AS BIGINT) AS window_idx, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word, sha1(body) AS body FROM windows")
+def _(spark, sf):
+    return r6(D.windows(spark, sf).select("doc_id", "window_idx", "start_word", "end_word", T.sha1(F.col("body")).alias("body")))
+
+
+@query("t20_chunks", rf"""WITH {SQL_CLEAN}, cw AS (
+  SELECT doc_id, source, sha1(c) AS ck, regexp_extract_all(c, '\S+') AS w FROM clean
+), cut AS (
+  SELECT doc_id, source, ck, k, k * 260 AS a, least(k * 260 + 320, len(w)) AS z, array_to_string(w[k * 260 + 1:least(k * 260 + 320, len(w))], ' ') AS body
+  FROM (SELECT *, unnest(range(0, 1 + greatest(CAST(ceil((len(w) - 320) / 260.0) AS INT), 0))) AS k FROM cw WHERE len(w) > 0)
+)
+SELECT substr(sha1(concat_ws(':', doc_id, 0, k, a, z, ck)), 1, 20) AS chunk_id, doc_id, CAST(0 AS BIGINT) AS section_idx, CAST(k AS BIGINT) AS window_idx,
+  CAST(z - a AS BIGINT) AS word_count, source AS heading, sha1(source || chr(10) || body) AS checksum FROM cut""")
+def _(spark, sf):
+    docs = D.table(spark, sf, "documents").select("doc_id", F.col("source").alias("name"), F.lit("").alias("link"), F.col("text").alias("passage"))
+    return r6(chunking.chunks(docs).select("chunk_id", "doc_id", "section_idx", "window_idx", "word_count", "heading", "checksum"))
+
+
+@query("t17_sections")
+def _(spark, sf):
+    """Order comments stand in for structured texts: each customer is a chapter of articles."""
+    orders = D.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("l"))
+    lines = F.transform("l", lambda x, i: F.concat(F.lit("Điều "), (i + 1).cast("string"), F.lit(". Order\norder "), x["o_orderkey"].cast("string"), F.lit(".")))
+    docs = orders.select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("Preamble.\nChương I General\n"), F.array_join(lines, "\n")).alias("text"))
+    cut = chunking.sections(docs, "doc_id", "text")
+    return r6(cut.select("doc_id", "section_idx", "heading", F.col("structure.chapter").alias("chapter"), F.col("structure.article").alias("article"), T.sha1(F.col("text")).alias("text")))
+
+
+ORACLES["t17_sections"] = """WITH o AS (
+  SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders
+)
+SELECT doc_id, CAST(i + 1 AS BIGINT) AS section_idx, 'Điều ' || i || '. Order' AS heading, 'Chương I General' AS chapter, 'Điều ' || i || '. Order' AS article,
+  sha1('Điều ' || i || '. Order' || chr(10) || 'order ' || k || '.') AS text FROM o
+UNION ALL SELECT DISTINCT doc_id, 0, '', '', '', sha1('Preamble.') FROM o
+UNION ALL SELECT DISTINCT doc_id, 1, 'Chương I General', 'Chương I General', '', sha1('Chương I General') FROM o"""
+
+
+# --- lexical retrieval -------------------------------------------------------
+
+SQL_BM25 = f"""{D.SQL_WINDOWS}, toks AS (
+  SELECT doc_id, window_idx, {sql_tokens('heading')} AS h, {sql_tokens('body')} AS b FROM windows
+), lens AS (
+  SELECT doc_id, window_idx, len(b) + 2.0 * len(h) AS dl FROM toks
+), tot AS (
+  SELECT count(*) AS n, avg(dl) AS avgdl FROM lens
+), q AS (
+  SELECT query_id, token, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS token FROM benchmark) GROUP BY 1, 2
+), tf AS (
+  SELECT doc_id, window_idx, token, sum(w) AS tf FROM (
+    SELECT doc_id, window_idx, unnest(b) AS token, 1.0 AS w FROM toks UNION ALL SELECT doc_id, window_idx, unnest(h), 2.0 FROM toks
+  ) WHERE token IN (SELECT token FROM q) GROUP BY 1, 2, 3
+), idf AS (
+  SELECT token, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf CROSS JOIN tot GROUP BY token
+), scored AS (
+  SELECT query_id, tf.doc_id, tf.window_idx, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM q JOIN tf USING (token) JOIN idf USING (token) JOIN lens ON tf.doc_id = lens.doc_id AND tf.window_idx = lens.window_idx CROSS JOIN tot GROUP BY 1, 2, 3
+), pool AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, window_idx) AS rank FROM scored) WHERE rank <= 300
+), own AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, window_idx DESC) AS n FROM pool
+), docs AS (
+  SELECT query_id, doc_id, max(score) AS mx, avg(score) FILTER (WHERE n <= 3) AS m3, count(*) AS sup, min(rank) AS best FROM own GROUP BY 1, 2
+)"""
+
+
+@query("a1_term_frequencies", f"WITH {SQL_BM25} SELECT doc_id, CAST(window_idx AS BIGINT) AS window_idx, token, CAST(tf AS DOUBLE) AS tf FROM tf")
+def _(spark, sf):
+    p = lexical.Bm25()
+    vocabulary = lexical.query_tokens(D.questions(spark, sf), p).select("token").distinct()
+    posted = lexical.postings(lexical.chunk_tokens(D.windows(spark, sf), p), vocabulary, p, ["doc_id", "window_idx"])
+    return r6(posted.select("doc_id", "window_idx", "token", "tf"))
+
+
+@query("a2_chunk_lengths", f"WITH {SQL_BM25} SELECT doc_id, CAST(window_idx AS BIGINT) AS window_idx, CAST(dl AS DOUBLE) AS chunk_len, round(avgdl, 6) AS avg_len FROM lens CROSS JOIN tot")
+def _(spark, sf):
+    tokens = lexical.chunk_tokens(D.windows(spark, sf), lexical.Bm25()).select("doc_id", "window_idx", "chunk_len")
+    return r6(tokens.crossJoin(F.broadcast(tokens.agg(F.avg("chunk_len").alias("avg_len")))))
+
+
+@query("a3_document_frequency", f"WITH {SQL_BM25} SELECT token, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
+def _(spark, sf):
+    p = lexical.Bm25()
+    tokens = lexical.chunk_tokens(D.windows(spark, sf), p)
+    vocabulary = lexical.query_tokens(D.questions(spark, sf), p).select("token").distinct()
+    totals = tokens.agg(F.count("*").alias("n_chunks"))
+    return r6(lexical.document_frequency(lexical.postings(tokens, vocabulary, p, ["doc_id", "window_idx"]), totals))
+
+
+@query("a4_bm25_chunks", f"WITH {SQL_BM25} SELECT query_id, doc_id, CAST(window_idx AS BIGINT) AS window_idx, round(score, 6) AS score, rank FROM pool")
+def _(spark, sf):
+    scored = lexical.chunk_scores(D.questions(spark, sf), D.windows(spark, sf))
+    return r6(lexical.top_k(scored, V.TOP_CHUNKS, ["doc_id", "window_idx"]).select("query_id", "doc_id", "window_idx", "score", "rank"))
+
+
+SQL_DOCS = """SELECT * FROM (SELECT query_id, doc_id, round({s}, 6) AS score, round(mx, 6) AS max_chunk_score, round(m3, 6) AS mean_top3_chunk_score, sup AS support_count,
+  row_number() OVER (PARTITION BY query_id ORDER BY round({s}, 9) DESC, best, doc_id) AS rank FROM docs) WHERE rank <= 100"""
+
+
+@query("a5_bm25_documents", f"WITH {SQL_BM25} " + SQL_DOCS.format(s="(mx + 0.2 * m3 + 0.05 * sup)"))
+def _(spark, sf):
+    found = lexical.rank(D.questions(spark, sf), D.windows(spark, sf))
+    return r6(found.select("query_id", "doc_id", "score", "max_chunk_score", "mean_top3_chunk_score", "support_count", "rank"))
+
+
+@query("a6_log_support", f"WITH {SQL_BM25} " + SQL_DOCS.format(s="(mx + 0.2 * m3 + 0.05 * ln(1 + sup))"))
+def _(spark, sf):
+    found = lexical.rank(D.questions(spark, sf), D.windows(spark, sf), lexical.Bm25(log_support=True))
+    return r6(found.select("query_id", "doc_id", "score", "max_chunk_score", "mean_top3_chunk_score", "support_count", "rank"))
+
+
+@query("w3_evidence", f"WITH {SQL_BM25} SELECT query_id, doc_id, CAST(n AS BIGINT) AS place, CAST(window_idx AS BIGINT) AS window_idx, round(score, 6) AS score FROM own WHERE n <= 3")
+def _(spark, sf):
+    pool = lexical.top_k(lexical.chunk_scores(D.questions(spark, sf), D.windows(spark, sf)), V.TOP_CHUNKS, ["doc_id", "window_idx"])
+    found = lexical.to_documents(pool, lexical.Bm25(top_docs=V.TOP_CHUNKS))
+    rows = found.select("query_id", "doc_id", F.explode("evidence").alias("e"))
+    return r6(rows.select("query_id", "doc_id", F.col("e.__n").alias("place"), F.col("e.chunk").alias("window_idx"), "e.score"))
+
+
+TRIALS = ((0, 1.5, 0.75), (1, 1.2, 0.75), (2, 1.8, 0.75), (3, 1.5, 0.55), (4, 1.5, 0.9))
+
+
+@query("m11_bm25_grid", f"""WITH {SQL_BM25}, trials(trial, k1, b) AS (VALUES {', '.join(map(str, TRIALS))}), g AS (
+  SELECT trial, query_id, tf.doc_id, tf.window_idx, sum(qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))) AS score
+  FROM q JOIN tf USING (token) JOIN idf USING (token) JOIN lens ON tf.doc_id = lens.doc_id AND tf.window_idx = lens.window_idx CROSS JOIN tot CROSS JOIN trials GROUP BY 1, 2, 3, 4
+)
+SELECT CAST(trial AS BIGINT) AS trial, query_id, doc_id, CAST(window_idx AS BIGINT) AS window_idx, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY trial, query_id ORDER BY round(score, 9) DESC, doc_id, window_idx) AS rank FROM g) WHERE rank <= 20""")
+def _(spark, sf):
+    trials = spark.createDataFrame(list(TRIALS), "trial int, k1 double, b double")
+    scored = lexical.grid_chunk_scores(D.questions(spark, sf), D.windows(spark, sf), trials)
+    w = Window.partitionBy("trial", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id", "window_idx")
+    return r6(scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("trial", "query_id", "doc_id", "window_idx", "score", "rank"))
+
+
+# --- dense retrieval ---------------------------------------------------------
+
+
+@query("v1_dense_search", """SELECT query_id, chunk_idx, round(score, 6) AS score, rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_idx, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) DESC, c.vec_id) AS rank
+  FROM embeddings q JOIN embeddings c ON q.vec_id < 20 AND c.vec_id >= 20) WHERE rank <= 100""")
+def _(spark, sf):
+    rows = D.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = rows.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    return r6(dense.dense_search(asked, rows.filter("vec_id >= 20").withColumnRenamed("vec_id", "chunk_idx"), V.TOP_DOCS))
+
+
+@query("v5_semantic_pool", """SELECT query_id, chunk_idx, round(score, 6) AS score, rank AS pool_rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_idx, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) DESC, c.vec_id) AS rank
+  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id < 100 AND q.vec_id <> c.vec_id) WHERE rank <= 40""")
+def _(spark, sf):
+    rows = D.table(spark, sf, "embeddings")
+    asked = rows.filter("vec_id < 100").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
+    pairs = rows.select(F.col("vec_id").alias("chunk_idx"), "label", F.col("embedding").alias("chunk_vector")).join(F.broadcast(asked), "label").filter("query_id <> chunk_idx")
+    return r6(dense.semantic_pool(dense.pair_scores(pairs)).select("query_id", "chunk_idx", "score", "pool_rank"))
+
+
+@query("v2_normalise", "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, round(embedding[1] / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12), 6) AS first FROM embeddings")
+def _(spark, sf):
+    v = D.table(spark, sf, "embeddings")
+    return r6(v.select("vec_id", Vec.norm(F.col("embedding")).alias("norm"), F.get(Vec.unit(F.col("embedding")), F.lit(0)).alias("first")))
+
+
+# --- fusion ------------------------------------------------------------------
+
+
+def _weights(spark, rows, extra=""):
+    return spark.createDataFrame(rows, "branch string, weight double, branch_order int" + extra)
+
+
+THREE = (("a", 1.0, 0), ("b", 1.0, 1), ("c", 0.2, 2))
+
+
+def _sql_rrf(order: str, depth: str = "") -> str:
+    return f"""WITH {D.SQL_RANKINGS}, w(branch, weight, o) AS (VALUES ('a', 1.0, 0), ('b', 1.0, 1), ('c', 0.2, 2)), f AS (
+  SELECT query_id, doc_id, sum(CAST(weight AS DOUBLE) / (60 + rank)) AS score, min({{'o': o, 'r': rank}}) AS seen, min({{'r': rank, 'o': o}}) AS first FROM rankings JOIN w USING (branch) {depth} GROUP BY 1, 2
+)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {order} doc_id) AS rank FROM f) WHERE rank <= 100"""
+
+
+def _rrf(tie):
+    def run(spark, sf):
+        return r6(fusion.rrf(D.rankings(spark, sf), _weights(spark, THREE), tie=tie).select("query_id", "doc_id", "score", "rank"))
+
+    return run
+
+
+for _tie, _order in (("first_seen", "seen,"), ("rank_first", "first,"), ("doc_id", "")):
+    query(f"a7_rrf_{_tie}", _sql_rrf(_order))(_rrf(_tie))
+
+
+@query("f7_depth_sliced_rrf", _sql_rrf("seen,", "WHERE rank <= CASE branch WHEN 'a' THEN 20 WHEN 'b' THEN 10 ELSE 1000000 END"))
+def _(spark, sf):
+    weights = _weights(spark, [("a", 1.0, 0, 20), ("b", 1.0, 1, 10), ("c", 0.2, 2, 0)], ", depth int")
+    return r6(fusion.rrf(D.rankings(spark, sf), weights).select("query_id", "doc_id", "score", "rank"))
+
+
+@query("w7_min_max", f"""WITH {D.SQL_RANKINGS}, t AS (SELECT * FROM rankings WHERE branch = 'b' AND rank <= 50), m AS (
+  SELECT query_id, doc_id, rank, score, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM t)
+SELECT query_id, doc_id, round(CASE WHEN hi - lo < 1e-12 THEN 0.5 ELSE (score - lo) / (hi - lo) END, 6) AS scaled FROM m""")
+def _(spark, sf):
+    top = D.branch(spark, sf, "b").filter("rank <= 50")
+    return r6(top.select("query_id", "doc_id", fusion.min_max(F.col("score"), Window.partitionBy("query_id")).alias("scaled")))
+
+
+SQL_FUSE = f"""WITH {D.SQL_RANKINGS}, base AS (
+  SELECT x.query_id, x.doc_id, x.rank, p.b AS s1, p.c AS s2 FROM rankings x JOIN purchases p ON x.query_id = p.query_id AND x.doc_id = p.doc_id WHERE branch = 'a'
+), head AS (
+  SELECT *, min(1.0 / rank) OVER w AS rl, max(1.0 / rank) OVER w AS rh, min(s1) OVER w AS l1, max(s1) OVER w AS h1, min(s2) OVER w AS l2, max(s2) OVER w AS h2
+  FROM base WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)
+), scaled AS (
+  SELECT query_id, doc_id, rank, CASE WHEN rh - rl < 1e-12 THEN 0.5 ELSE (1.0 / rank - rl) / (rh - rl) END AS r,
+    CASE WHEN h1 - l1 < 1e-12 THEN 0.5 ELSE (s1 - l1) / (h1 - l1) END AS x1, CASE WHEN h2 - l2 < 1e-12 THEN 0.5 ELSE (s2 - l2) / (h2 - l2) END AS x2 FROM head
+), allrows AS (
+  SELECT query_id, doc_id, rank, CAST({{0}} AS DOUBLE) AS s FROM scaled UNION ALL SELECT query_id, doc_id, rank, -rank * 1e-6 FROM base WHERE rank > 20
+)
+SELECT query_id, doc_id, round(s, 6) AS fused_score, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS fused_rank FROM allrows) WHERE fused_rank <= 100"""
+
+
+def _fusion_base(spark, sf):
+    a = D.branch(spark, sf, "a").select("query_id", "doc_id", "rank")
+    return a.join(D.purchases(spark, sf).select("query_id", "doc_id", F.col("b").alias("s1"), F.col("c").alias("s2")), ["query_id", "doc_id"])
+
+
+@query("f4_score_fusion", SQL_FUSE.format("0.5 * r + 0.8 * x1"))
+def _(spark, sf):
+    fused = fusion.score_fusion(_fusion_base(spark, sf), ["s1"], [0.8], 0.5, window=20)
+    return r6(fused.select("query_id", "doc_id", "fused_score", "fused_rank"))
+
+
+@query("f5_three_signals", SQL_FUSE.format("0.5 * r + 0.8 * x1 + 0.3 * x2"))
+def _(spark, sf):
+    fused = fusion.score_fusion(_fusion_base(spark, sf), ["s1", "s2"], [0.8, 0.3], 0.5, window=20)
+    return r6(fused.select("query_id", "doc_id", "fused_score", "fused_rank"))
+
+
+@query("f3_rerank_tail", f"""WITH {D.SQL_RANKINGS}, base AS (
+  SELECT x.query_id, x.doc_id, x.rank, p.b AS s FROM rankings x JOIN purchases p ON x.query_id = p.query_id AND x.doc_id = p.doc_id WHERE branch = 'a')
+SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank <= 10 DESC, CASE WHEN rank <= 10 THEN round(s, 9) END DESC NULLS LAST, rank) AS reranked FROM base""")
+def _(spark, sf):
+    scores = D.purchases(spark, sf).select("query_id", "doc_id", F.col("b").alias("reranker_score"))
+    return r6(fusion.rerank(D.branch(spark, sf, "a"), scores, window=10).select("query_id", "doc_id", "rank", "reranked"))
+
+
+GRID = [(i, float(k), w) for i, (k, w) in enumerate((k, w) for k in (20, 40, 60, 80) for w in (0.4, 0.7, 1.0, 1.3))]
+
+
+def grid_metrics(spark, sf):
+    """All trials in one job: parameters are joined to the rankings just before the sum."""
+    trials = spark.createDataFrame(GRID, "trial int, k double, w double")
+    rows = D.rankings(spark, sf, ("a", "b")).crossJoin(F.broadcast(trials))
+    score = F.sum(F.when(F.col("branch") == "a", 1.0).otherwise(F.col("w")) / (F.col("k") + F.col("rank")))
+    fused = rows.groupBy("trial", "query_id", "doc_id").agg(score.alias("score"))
+    ranked = fusion.ranked(fused, ("trial", "query_id"), [F.asc("doc_id")], V.TOP_DOCS)
+    judged = metrics.judged(ranked, D.gold(spark, sf), D.customers(spark, sf), by=("trial",))
+    return metrics.macro(metrics.rank_metrics(judged, by=("trial",)), by=("trial",))
+
+
+SQL_GRID = f"""WITH {D.SQL_RANKINGS}, {D.SQL_GOLD}, trials(trial, k, w) AS (VALUES {', '.join(map(str, GRID))}), f AS (
+  SELECT trial, query_id, doc_id, sum(CASE branch WHEN 'a' THEN 1.0 ELSE w END / (k + rank)) AS s FROM rankings CROSS JOIN (SELECT trial, CAST(k AS DOUBLE) AS k, CAST(w AS DOUBLE) AS w FROM trials) WHERE branch IN ('a', 'b') GROUP BY 1, 2, 3
+), r AS (
+  SELECT trial, query_id, doc_id, row_number() OVER (PARTITION BY trial, query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM f
+), h AS (
+  SELECT trial, r.query_id, count(*) FILTER (WHERE rank <= 5) AS h5, count(*) FILTER (WHERE rank <= 20) AS h20, min(rank) AS first FROM r JOIN gold ON r.query_id = gold.query_id AND r.doc_id = gold.doc_id WHERE rank <= 100 GROUP BY 1, 2
+), gc AS (
+  SELECT query_id, count(*) AS g FROM gold GROUP BY 1
+), every AS (
+  SELECT trial, c_custkey AS query_id FROM customer CROSS JOIN trials
+), m AS (
+  SELECT CAST(trial AS BIGINT) AS trial, round(avg(coalesce(h5 / CAST(g AS DOUBLE), 0)), 6) AS recall_5, round(avg(coalesce(h5 / 5.0, 0)), 6) AS precision_5,
+    round(avg(coalesce(h20 / CAST(g AS DOUBLE), 0)), 6) AS recall_20, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr
+  FROM every LEFT JOIN h USING (trial, query_id) LEFT JOIN gc USING (query_id) GROUP BY 1
+)"""
+
+
+@query("f2_rrf_grid", SQL_GRID + " SELECT * FROM m")
+def _(spark, sf):
+    return r6(grid_metrics(spark, sf).select("trial", "recall_5", "precision_5", "recall_20", "mrr"))
+
+
+@query("m12_best_trial", SQL_GRID + " SELECT * FROM m ORDER BY recall_5 DESC, precision_5 DESC, recall_20 DESC, mrr DESC, trial LIMIT 1")
+def _(spark, sf):
+    rows = r6(grid_metrics(spark, sf).select("trial", "recall_5", "precision_5", "recall_20", "mrr"))
+    return metrics.best_trials(rows).limit(1)
+
+
+# --- metrics and audits ------------------------------------------------------
+
+SQL_HITS = f"""WITH {D.SQL_RANKINGS}, {D.SQL_GOLD}, gc AS (SELECT query_id, count(*) AS g FROM gold GROUP BY 1), h AS (
+  SELECT r.query_id, branch, count(*) FILTER (WHERE rank <= 1) AS h1, count(*) FILTER (WHERE rank <= 5) AS h5, count(*) FILTER (WHERE rank <= 20) AS h20,
+    count(*) FILTER (WHERE rank <= 50) AS h50, count(*) FILTER (WHERE rank <= 90) AS h90, count(*) FILTER (WHERE rank <= 100) AS h100, min(rank) AS first
+  FROM rankings r JOIN gold ON r.query_id = gold.query_id AND r.doc_id = gold.doc_id GROUP BY 1, 2
+), j AS (
+  SELECT c_custkey AS query_id, b.branch, coalesce(g, 0) AS g, coalesce(h1, 0) AS h1, coalesce(h5, 0) AS h5, coalesce(h20, 0) AS h20, coalesce(h50, 0) AS h50, coalesce(h90, 0) AS h90,
+    coalesce(h100, 0) AS h100, first FROM customer CROSS JOIN (VALUES ('a'), ('b'), ('c')) b(branch) LEFT JOIN gc ON gc.query_id = c_custkey LEFT JOIN h ON h.query_id = c_custkey AND h.branch = b.branch
+), m AS (
+  SELECT branch, query_id, g AS gold_count, h5 / 5.0 AS precision_5, {', '.join(f'CASE WHEN g > 0 THEN h{k} / CAST(g AS DOUBLE) ELSE 0.0 END AS recall_{k}' for k in V.RECALL_DEPTHS)},
+    {', '.join(f'CAST(h{k} > 0 AS DOUBLE) AS hit_{k}' for k in (1, 5, 20))}, CAST(h90 > 0 AS DOUBLE) AS exist_90, coalesce(1.0 / first, 0.0) AS mrr FROM j
+)"""
+METRICS = ["precision_5", *[f"recall_{k}" for k in V.RECALL_DEPTHS], "hit_1", "hit_5", "hit_20", "exist_90", "mrr"]
+
+
+def per_query(spark, sf, branches=D.BRANCHES):
+    judged = metrics.judged(D.rankings(spark, sf, branches), D.gold(spark, sf), D.customers(spark, sf), by=("branch",))
+    return metrics.rank_metrics(judged, by=("branch",))
+
+
+@query("m3_rank_metrics", SQL_HITS + " SELECT branch, query_id, gold_count, " + ", ".join(f"round({c}, 6) AS {c}" for c in METRICS) + " FROM m")
+def _(spark, sf):
+    return r6(per_query(spark, sf))
+
+
+@query("a8_macro_average", SQL_HITS + " SELECT branch, count(*) AS n_queries, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in METRICS) + " FROM m GROUP BY branch")
+def _(spark, sf):
+    return r6(metrics.macro(per_query(spark, sf), by=("branch",)))
+
+
+@query("a9_by_gold_count", SQL_HITS + " SELECT branch, gold_count, count(*) AS n_queries, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in METRICS) + " FROM m GROUP BY branch, gold_count")
+def _(spark, sf):
+    return r6(metrics.macro(per_query(spark, sf), by=("branch", "gold_count")))
+
+
+@query("m1_official_metrics", f"""WITH {D.SQL_RANKINGS}, {D.SQL_GOLD}, given AS (SELECT query_id, doc_id, rank FROM rankings WHERE branch = 'a' AND rank <= 3 + query_id % 4), n AS (
+  SELECT query_id, count(*) AS n FROM given GROUP BY 1), gc AS (SELECT query_id, count(*) AS g FROM gold GROUP BY 1), h AS (
+  SELECT given.query_id, count(*) AS h, min(rank) AS first FROM given JOIN gold ON given.query_id = gold.query_id AND given.doc_id = gold.doc_id GROUP BY 1)
+SELECT c_custkey AS query_id, CASE WHEN n <= 5 AND g > 0 THEN round(coalesce(h, 0) / CAST(n AS DOUBLE), 6) ELSE 0.0 END AS precision, CASE WHEN n <= 5 AND g > 0 THEN round(coalesce(h, 0) / CAST(g AS DOUBLE), 6) ELSE 0.0 END AS recall,
+  CASE WHEN n <= 5 AND coalesce(h, 0) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS hit, CASE WHEN n <= 5 AND first IS NOT NULL THEN round(1.0 / first, 6) ELSE 0.0 END AS mrr
+FROM customer LEFT JOIN n ON n.query_id = c_custkey LEFT JOIN gc ON gc.query_id = c_custkey LEFT JOIN h ON h.query_id = c_custkey""")
+def _(spark, sf):
+    given = D.branch(spark, sf, "a").filter(F.col("rank") <= 3 + F.col("query_id") % 4)
+    return r6(metrics.official_metrics(given, D.gold(spark, sf), D.customers(spark, sf)))
+
+
+@query("m6_metrics_at_k", SQL_HITS + " SELECT query_id, " + ", ".join(f"round(h{k} / {k}.0, 6) AS precision_{k}, round(CASE WHEN g > 0 THEN h{k} / CAST(g AS DOUBLE) ELSE 0 END, 6) AS recall_{k}, CAST(h{k} > 0 AS DOUBLE) AS hit_{k}" for k in V.RECALL_DEPTHS) + " FROM j WHERE branch = 'b'")
+def _(spark, sf):
+    judged = metrics.judged(D.branch(spark, sf, "b"), D.gold(spark, sf), D.customers(spark, sf))
+    return r6(metrics.rank_metrics(judged, hits=V.RECALL_DEPTHS, precisions=V.RECALL_DEPTHS).drop("gold_count", "exist_90", "mrr"))
+
+
+@query("m7_oracle_union", f"""WITH {D.SQL_RANKINGS}, {D.SQL_GOLD}, u AS (SELECT DISTINCT query_id, doc_id FROM rankings WHERE rank <= 20), h AS (
+  SELECT gold.query_id, count(*) AS g, count(u.doc_id) AS h FROM gold LEFT JOIN u ON u.query_id = gold.query_id AND u.doc_id = gold.doc_id GROUP BY 1)
+SELECT round(avg(coalesce(h / CAST(g AS DOUBLE), 0)), 6) AS oracle_recall, count(*) AS n_queries FROM customer LEFT JOIN h ON query_id = c_custkey""")
+def _(spark, sf):
+    return r6(metrics.oracle_union(D.rankings(spark, sf), D.gold(spark, sf), D.customers(spark, sf), 20))
+
+
+@query("m8_compare_rankings", SQL_HITS + """ SELECT a.query_id, round(a.recall_5, 6) AS before, round(b.recall_5, 6) AS after, round(b.recall_5 - a.recall_5, 6) AS delta,
+  CASE WHEN round(b.recall_5 - a.recall_5, 9) > 0 THEN 'improved' WHEN round(b.recall_5 - a.recall_5, 9) < 0 THEN 'degraded' ELSE 'unchanged' END AS outcome
+  FROM m a JOIN m b ON a.query_id = b.query_id AND a.branch = 'a' AND b.branch = 'b'""")
+def _(spark, sf):
+    found = per_query(spark, sf, ("a", "b"))
+    return r6(metrics.compare(found.filter("branch = 'a'"), found.filter("branch = 'b'"), "recall_5"))
+
+
+@query("m9_overlap_audit", f"""WITH {D.SQL_RANKINGS}, t AS (SELECT query_id, branch, list(doc_id ORDER BY rank) AS l FROM rankings WHERE rank <= 5 GROUP BY 1, 2)
+SELECT a.query_id, CAST(len(list_intersect(a.l, b.l)) AS BIGINT) AS overlap, a.l[1] = b.l[1] AS top1_same, a.l <> b.l AS changed
+FROM t a JOIN t b ON a.query_id = b.query_id AND a.branch = 'a' AND b.branch = 'b'""")
+def _(spark, sf):
+    return r6(metrics.overlap_audit(D.branch(spark, sf, "a"), D.branch(spark, sf, "b")))
+
+
+@query("a13_rank_histogram", f"""WITH {D.SQL_RANKINGS}, c AS (
+  SELECT CASE WHEN o.rank <= 20 THEN o.rank END AS was, count(*) AS n FROM rankings f LEFT JOIN rankings o ON o.query_id = f.query_id AND o.doc_id = f.doc_id AND o.branch = 'a'
+  WHERE f.branch = 'b' AND f.rank <= 5 GROUP BY 1), d AS (SELECT unnest(range(1, 21)) AS k UNION ALL SELECT NULL)
+SELECT k AS original_rank, coalesce(n, 0) AS n FROM d LEFT JOIN c ON k IS NOT DISTINCT FROM was""")
+def _(spark, sf):
+    return r6(metrics.rank_histogram(D.branch(spark, sf, "b"), D.branch(spark, sf, "a")))
+
+
+@query("m10_accept_gate", SQL_HITS + """, s AS (SELECT branch, avg(recall_5) AS r, avg(precision_5) AS p FROM m GROUP BY 1)
+SELECT n.branch, n.r > b.r + 1e-9 OR (abs(n.r - b.r) <= 1e-9 AND n.p > b.p + 1e-9) AS accepted FROM s n JOIN s b ON b.branch = 'a' AND n.branch <> 'a'""")
+def _(spark, sf):
+    summary = {r["branch"]: r.asDict() for r in metrics.macro(per_query(spark, sf), by=("branch",)).collect()}  # one row per branch
+    rows = [(b, metrics.accept(summary["a"], summary[b])) for b in sorted(summary) if b != "a"]
+    return spark.createDataFrame(rows, "branch string, accepted boolean")
+
+
+# --- ordered lists -----------------------------------------------------------
+
+
+def _lists(spark, sf, n=5):
+    rows = D.rankings(spark, sf, ("a", "b")).filter(F.col("rank") <= n)
+    packed = rows.groupBy("query_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("branch") == b, F.struct("rank", "doc_id")))), lambda x: x["doc_id"]).alias(b) for b in ("a", "b")])
+    return packed
+
+
+@query("l1_l7_list_operators", f"""WITH {D.SQL_RANKINGS}, t AS (
+  SELECT query_id, list(doc_id ORDER BY rank) FILTER (WHERE branch = 'a') AS a, list(doc_id ORDER BY rank) FILTER (WHERE branch = 'b') AS b FROM rankings WHERE rank <= 5 AND branch <> 'c' GROUP BY 1
+), u AS (
+  SELECT query_id, a, b, list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) AS ab, list_concat(a[1:2], list_filter(b, lambda x: NOT list_contains(a[1:2], x))) AS lb FROM t
+)
+SELECT query_id, array_to_string(ab, ',') AS joined, array_to_string(list_concat(lb, list_filter(a, lambda x: NOT list_contains(lb, x))), ',') AS locked,
+  CAST(len(list_intersect(a, b)) AS BIGINT) AS common, coalesce(array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ','), '') AS only_a, a <> b AS changed FROM u""")
+def _(spark, sf):
+    t = _lists(spark, sf)
+    a, b = F.col("a"), F.col("b")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return t.select("query_id", text(L.union(a, b)).alias("joined"), text(L.lock_top(a, b, 2)).alias("locked"), L.overlap(a, b).cast("bigint").alias("common"), text(L.difference(a, b)).alias("only_a"), (a != b).alias("changed"))
+
+
+@query("o2_numeric_first_order", r"""SELECT k, row_number() OVER (ORDER BY CASE WHEN regexp_full_match(k, '[0-9]+') THEN 0 ELSE 1 END, TRY_CAST(k AS BIGINT), k) AS place
+FROM (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'u' || user_id ELSE CAST(user_id AS VARCHAR) END AS k FROM events)""")
+def _(spark, sf):
+    key = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise(F.col("user_id").cast("string"))
+    rows = D.table(spark, sf, "events").select(key.alias("k")).distinct()
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*T.numeric_first("k"))).cast("bigint"))
+
+
+# --- evidence ----------------------------------------------------------------
+
+
+def evidence_pairs(spark, sf):
+    """Windows of each question's ten best documents."""
+    asked = D.questions(spark, sf)
+    docs = lexical.rank(asked, D.windows(spark, sf)).filter("rank <= 10").select("query_id", "doc_id")
+    chunks = D.windows(spark, sf).withColumn("word_count", F.col("end_word") - F.col("start_word"))
+    return docs.join(chunks, "doc_id").join(asked, "query_id")
+
+
+def sql_etokens(text):
+    return rf"list_filter(regexp_extract_all(strip_accents({SQL_D.format(f'lower({text})')}), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 1 AND t NOT IN ({ESTOP}))"
+
+
+SQL_EVIDENCE = f"""WITH {SQL_BM25}, best AS (
+  SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(mx + 0.2 * m3 + 0.05 * sup, 9) DESC, best, doc_id) AS rank FROM docs) WHERE rank <= 10
+), pairs AS (
+  SELECT best.query_id, windows.doc_id, window_idx, end_word - start_word AS wc, heading, body, {sql_etokens('benchmark.text')} AS qt, {sql_etokens('substr(body, 1, 6000)')} AS ct,
+    strip_accents({SQL_D.format('lower(heading)')}) AS low FROM best JOIN windows USING (doc_id) JOIN benchmark ON item_id = query_id
+), ov AS (
+  SELECT query_id, doc_id, window_idx, wc, heading, body, coalesce(list_sum(list_transform(list_distinct(qt), lambda t: least(len(list_filter(qt, lambda x: x = t)), len(list_filter(ct, lambda x: x = t))))), 0)
+    / CAST(greatest(len(list_distinct(qt)), 1) AS DOUBLE) + CASE WHEN len(list_filter(qt, lambda t: contains(low, t))) > 0 THEN 0.25 ELSE 0 END AS overlap FROM pairs
+), pk AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(overlap, 9) DESC, abs(wc - 320), window_idx DESC) AS pick FROM ov
+)"""
+
+
+@query("t22_overlap_scores", SQL_EVIDENCE + " SELECT query_id, doc_id, CAST(window_idx AS BIGINT) AS window_idx, round(overlap, 6) AS overlap FROM ov")
+def _(spark, sf):
+    return r6(evidence.overlap_scores(evidence_pairs(spark, sf)).select("query_id", "doc_id", "window_idx", "overlap"))
+
+
+@query("t25_evidence_pick", SQL_EVIDENCE + " SELECT query_id, doc_id, sha1(substr(string_agg(heading || chr(10) || body, chr(10) || chr(10) ORDER BY pick), 1, 1800)) AS evidence FROM pk WHERE pick <= 3 GROUP BY 1, 2")
+def _(spark, sf):
+    picked = evidence.pick(evidence.overlap_scores(evidence_pairs(spark, sf)))
+    return evidence.evidence_text(picked).select("query_id", "doc_id", T.sha1(F.col("evidence")).alias("evidence"))
+
+
+@query("t26_positive_pick", SQL_EVIDENCE + " SELECT query_id, doc_id, CAST(window_idx AS BIGINT) AS window_idx, pick FROM pk WHERE pick <= 2 AND trim(body) <> ''")
+def _(spark, sf):
+    return r6(evidence.positives(evidence.overlap_scores(evidence_pairs(spark, sf))).select("query_id", "doc_id", "window_idx", "pick"))
+
+
+# --- sampling and features ---------------------------------------------------
+
+
+def _labelled(spark, sf):
+    return D.table(spark, sf, "labels").select("doc_id", (2 * F.col("quality") + F.col("toxic")).alias("stratum"))
+
+
+@query("x1_stratified_split", """WITH l AS (SELECT doc_id, 2 * quality + toxic AS s FROM labels), q AS (
+  SELECT s, count(*) AS n, 100 * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS e FROM l GROUP BY 1), t AS (
+  SELECT s, floor(e) + CASE WHEN row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, s DESC) <= 100 - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS take FROM q), r AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY sha1('split|' || doc_id), doc_id) AS k FROM l)
+SELECT doc_id, CAST(s AS BIGINT) AS stratum, CASE WHEN k <= take THEN 'dev' ELSE 'train' END AS part FROM r JOIN t USING (s)""")
+def _(spark, sf):
+    return r6(sampling.stratified_split(_labelled(spark, sf), "doc_id", "stratum", 100))
+
+
+@query("x3_folds", "SELECT doc_id, CAST(2 * quality + toxic AS BIGINT) AS stratum, (row_number() OVER (PARTITION BY 2 * quality + toxic ORDER BY sha1('folds|' || doc_id), doc_id) - 1) % 5 + 1 AS fold FROM labels")
+def _(spark, sf):
+    return r6(sampling.folds(_labelled(spark, sf), "doc_id", "stratum"))
+
+
+@query("m17_fold_audit", "SELECT doc_id, CAST(0 AS BIGINT) AS n FROM labels WHERE false")
+def _(spark, sf):
+    return r6(sampling.audit_folds(sampling.folds(_labelled(spark, sf), "doc_id", "stratum"), "doc_id"))
+
+
+SQL_NEGATIVES = f"""WITH {D.SQL_RANKINGS}, {D.SQL_GOLD}, rest AS (
+  SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS place FROM rankings r WHERE branch = 'a' AND rank <= 80
+    AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.query_id = r.query_id AND g.doc_id = r.doc_id)
+), pairs AS (
+  SELECT rest.query_id, gold.doc_id AS gold_doc, rest.doc_id FROM rest JOIN gold USING (query_id) WHERE place BETWEEN 6 AND 60
+)
+SELECT query_id, gold_doc, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, gold_doc ORDER BY sha1(concat_ws('|', 'negatives', query_id, gold_doc, doc_id)), doc_id) AS n FROM pairs) WHERE n <= 10"""
+
+
+@query("x5_semi_hard_negatives", SQL_NEGATIVES)
+def _(spark, sf):
+    return sampling.semi_hard_negatives(D.branch(spark, sf, "a"), D.gold(spark, sf), most=None)
+
+
+@query("x6_lexical_band", f"""WITH {D.SQL_RANKINGS}, b AS (SELECT query_id, doc_id, rank, max(CAST(rank BETWEEN 4 AND 40 AS INT)) OVER (PARTITION BY query_id) AS inside FROM rankings WHERE branch = 'a')
+SELECT query_id, doc_id, rank FROM b WHERE rank BETWEEN 4 AND 40 OR (inside = 0 AND rank <= 40)""")
+def _(spark, sf):
+    return r6(sampling.band(D.branch(spark, sf, "a")).select("query_id", "doc_id", "rank"))
+
+
+@query("x8_feature_frame", f"""WITH {D.SQL_RANKINGS}, {D.SQL_GOLD}, f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM rankings GROUP BY 1, 2), top AS (
+  SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 20
+), lost AS (
+  SELECT query_id, doc_id FROM gold g WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.query_id = g.query_id AND top.doc_id = g.doc_id)
+), n AS (SELECT query_id, count(*) AS n FROM lost GROUP BY 1), cand AS (
+  SELECT top.query_id, doc_id FROM top LEFT JOIN n USING (query_id) WHERE rank <= 20 - coalesce(n, 0) UNION ALL SELECT query_id, doc_id FROM lost WHERE query_id IN (SELECT query_id FROM top)
+), wide AS (
+  SELECT query_id, doc_id, {', '.join(f"min(rank) FILTER (WHERE branch = '{b}') AS {b}r, max(score) FILTER (WHERE branch = '{b}') AS {b}v" for b in D.BRANCHES)} FROM rankings GROUP BY 1, 2
+)
+SELECT cand.query_id, cand.doc_id, CASE WHEN gold.doc_id IS NULL THEN 0 ELSE 1 END::BIGINT AS label,
+  {', '.join(f"coalesce({b}r, 999) AS {b}_rank, round(coalesce(1.0 / {b}r, 0), 6) AS {b}_rr, round(coalesce({b}v, 0), 6) AS {b}_score" for b in D.BRANCHES)},
+  ({' + '.join(f"CAST(coalesce({b}r, 999) <= 5 AS INT)" for b in D.BRANCHES)})::BIGINT AS agreement_top5, ({' + '.join(f"CAST(coalesce({b}r, 999) <= 20 AS INT)" for b in D.BRANCHES)})::BIGINT AS agreement_top20
+FROM cand LEFT JOIN wide ON wide.query_id = cand.query_id AND wide.doc_id = cand.doc_id LEFT JOIN gold ON gold.query_id = cand.query_id AND gold.doc_id = cand.doc_id""")
+def _(spark, sf):
+    rows = D.rankings(spark, sf)
+    return r6(sampling.feature_frame({b: rows.filter(F.col("branch") == b) for b in D.BRANCHES}, D.gold(spark, sf), cap=20))
+
+
+@query("a12_missing_positives", f"WITH {D.SQL_GOLD}, {D.SQL_RANKINGS} SELECT DISTINCT query_id FROM rankings WHERE query_id NOT IN (SELECT query_id FROM gold)")
+def _(spark, sf):
+    rows = D.branch(spark, sf, "a").join(D.gold(spark, sf).withColumn("label", F.lit(1)), ["query_id", "doc_id"], "left").fillna(0, ["label"])
+    return sampling.missing_positives(rows)
+
+
+# --- validation and statistics ----------------------------------------------
+
+
+@query("a10_distributions", f"WITH {D.SQL_WINDOWS}, c AS (SELECT doc_id, count(*) AS n FROM windows GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, round(median(n), 6) AS middle, count(*) AS n_docs FROM c")
+def _(spark, sf):
+    counts = D.windows(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return r6(counts.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.median("n").alias("middle"), F.count("*").alias("n_docs")))
+
+
+@query("a11_duplicate_texts", r"SELECT sha1(k) AS text, count(*) AS n, min(doc_id) AS first FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS k FROM documents) GROUP BY k HAVING count(*) > 1")
+def _(spark, sf):
+    keyed = D.table(spark, sf, "documents").select("doc_id", T.sha1(T.squeeze(F.col("text"))).alias("text"))
+    return keyed.groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+
+
+@query("a14_set_sizes", f"WITH {D.SQL_GOLD} SELECT count(DISTINCT query_id) AS n_queries, count(DISTINCT doc_id) AS n_docs, count(*) AS n_pairs FROM gold")
+def _(spark, sf):
+    return D.gold(spark, sf).agg(F.countDistinct("query_id").alias("n_queries"), F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_pairs"))
+
+
+@query("j11_coverage", "SELECT c_custkey AS query_id, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(spark, sf):
+    return validate.coverage(D.customers(spark, sf), D.table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id")))
+
+
+@query("j6_unknown_gold", "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def _(spark, sf):
+    known = D.table(spark, sf, "documents").filter("lang = 'en'").select("doc_id")
+    return D.table(spark, sf, "labels").select("doc_id").distinct().join(known, "doc_id", "left_anti")
+
+
+@query("m14_submission_issues", f"""WITH {D.SQL_RANKINGS}, s AS (
+  SELECT query_id, list(CAST(CASE WHEN query_id % 11 = 0 AND rank = 2 THEN -1 ELSE doc_id END AS VARCHAR) ORDER BY rank) AS answer FROM rankings WHERE branch = 'a' AND rank <= 4 + query_id % 3 GROUP BY 1)
+SELECT 'error' AS severity, 'missing_query' AS kind, CAST(c_custkey AS VARCHAR) AS item_id FROM customer WHERE c_custkey NOT IN (SELECT query_id FROM s)
+UNION ALL SELECT 'error', 'too_many', CAST(query_id AS VARCHAR) FROM s WHERE len(answer) > 5
+UNION ALL SELECT 'error', 'unknown_document', CAST(query_id AS VARCHAR) FROM s WHERE list_contains(answer, '-1')""")
+def _(spark, sf):
+    rows = D.branch(spark, sf, "a").filter(F.col("rank") <= 4 + F.col("query_id") % 3)
+    rows = rows.withColumn("doc_id", F.when((F.col("query_id") % 11 == 0) & (F.col("rank") == 2), F.lit(-1)).otherwise(F.col("doc_id")))
+    answers = sinks.make_submission(rows, 100)
+    asked = D.customers(spark, sf).select(F.col("query_id").cast("string").alias("query_id"))
+    parts = D.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"))
+    return validate.submission_issues(answers, asked, parts).select("severity", "kind", "item_id")
+
+
+@query("m15_question_issues", r"""WITH k AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS k FROM documents)
+SELECT 'warning' AS severity, 'duplicate_question' AS kind, CAST(min(doc_id) AS VARCHAR) AS item_id FROM k WHERE k <> '' GROUP BY k HAVING count(*) > 1
+UNION ALL SELECT 'error', 'empty_answer', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def _(spark, sf):
+    labels = D.table(spark, sf, "labels").groupBy("doc_id").agg(F.collect_set(F.col("quality").cast("string")).alias("answer"))
+    rows = D.table(spark, sf, "documents").select("doc_id", F.col("text").alias("question")).join(labels, "doc_id", "left")
+    return validate.question_issues(rows.withColumnRenamed("doc_id", "query_id")).select("severity", "kind", "item_id")
+
+
+@query("m16_frame_issues", f"WITH {D.SQL_GOLD}, {D.SQL_RANKINGS} SELECT DISTINCT 'no_positive' AS kind, CAST(query_id AS VARCHAR) AS item_id FROM rankings WHERE query_id NOT IN (SELECT query_id FROM gold)")
+def _(spark, sf):
+    rows = D.rankings(spark, sf)
+    frame = sampling.feature_frame({b: rows.filter(F.col("branch") == b) for b in D.BRANCHES}, D.gold(spark, sf))
+    asked = rows.select("query_id").distinct()
+    return validate.frame_issues(frame, ["query_id", "doc_id", "label", "a_rank", "agreement_top5"], asked).select("kind", "item_id")
+
+
+# --- sources and sinks -------------------------------------------------------
+
+
+@query("s11_scored_candidates", "SELECT CAST(l_orderkey AS VARCHAR) AS query_id, CAST(l_partkey AS VARCHAR) AS doc_id, max(l_extendedprice) AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_extendedprice) DESC, CAST(l_partkey AS VARCHAR)) AS rank FROM lineitem GROUP BY l_orderkey, l_partkey")
+def _(spark, sf):
+    lines = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("QID"), F.col("l_partkey").alias("candidate_id"), F.col("l_extendedprice").cast("string").alias("llm_score"))
+    found = readers.scored_candidates(lines)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("s5_any_ranking", f"WITH {D.SQL_RANKINGS} SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, rank FROM rankings WHERE branch = 'a' AND rank <= 20")
+def _(spark, sf):
+    wide = sinks.wide_rankings(D.branch(spark, sf, "a").filter("rank <= 20")).drop("doc_ids").withColumnRenamed("query_id", "qid")
+    found = readers.rankings(wide)
+    return found.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("k3_submission", f"WITH {D.SQL_RANKINGS} SELECT CAST(query_id AS VARCHAR) AS query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS answer FROM rankings WHERE branch = 'b' AND rank <= 5 GROUP BY query_id")
+def _(spark, sf):
+    return sinks.make_submission(D.branch(spark, sf, "b")).select("query_id", F.array_join("answer", ",").alias("answer"))
+
+
+@query("u2_pair_scores", rf"""WITH {SQL_BM25}, best AS (
+  SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(mx + 0.2 * m3 + 0.05 * sup, 9) DESC, best, doc_id) AS rank FROM docs) WHERE rank <= 10
+), p AS (
+  SELECT query_id, windows.doc_id, window_idx, list_distinct(regexp_extract_all(lower(benchmark.text), '[\p{{L}}\p{{N}}_]+')) AS q, list_distinct(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+')) AS c
+  FROM best JOIN windows USING (doc_id) JOIN benchmark ON item_id = query_id
+), s AS (SELECT query_id, doc_id, window_idx, len(list_intersect(q, c)) / CAST(greatest(len(q), 1) AS DOUBLE) AS s FROM p)
+SELECT query_id, doc_id, CAST(arg_max(window_idx, {{'s': round(s, 9), 'k': -window_idx}}) AS BIGINT) AS window_idx, round(max(s), 6) AS overlap FROM s GROUP BY 1, 2""")
+def _(spark, sf):
+    return r6(scorers.best_chunk(evidence_pairs(spark, sf)).select("query_id", "doc_id", "window_idx", "overlap"))
