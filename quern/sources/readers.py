@@ -47,8 +47,9 @@ def read_contexts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """(contexts, issues) of a folder of one-document JSON files. Ids fall back to
     the file name's digits, names to link, passage and file name; an empty passage
     becomes name and link. Unreadable files and repeated ids are issues."""
-    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(CONTEXT).json(path)
-    raw = raw.select("*", F.col("_metadata.file_path").alias("source_path"))
+    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("source_path"))
+    parsed = F.from_json("value", CONTEXT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw = texts.select(parsed.alias("x"), "source_path").select("x.*", "source_path")
     digits = F.regexp_extract("source_path", r"(\d+)\D*$", 1)
     doc_id = F.coalesce(F.when(F.trim("id") != "", F.trim("id")), digits)
     good = raw.filter("_corrupt is null").withColumns({"doc_id": doc_id, "link": F.coalesce("link", F.lit("")), "passage": F.coalesce("passage", F.lit(""))})
