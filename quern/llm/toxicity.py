@@ -134,8 +134,8 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
     for t, y in zip(texts, labels):
         ws = words_of(t)
         grams = [hash_of(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))]
-        marks = {(k, min((g * m) & 0xFFFFFFFF for g in grams)) for k, m in enumerate((1, 0x9E3779B1, 0x85EBCA6B))}
-        if ws and not marks & seen:
+        marks = {(k, min((g * m) & 0xFFFFFFFF for g in grams)) for k, m in enumerate((1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))}
+        if ws and len(marks & seen) < 2:
             rows.append((ws, int(y)))
             seen |= marks
     nt, nn = sum(y for _, y in rows), sum(1 - y for _, y in rows)
