@@ -1,15 +1,24 @@
 """Field-weighted BM25 over chunks, and aggregation of chunk scores to documents.
 
-Only postings of tokens that some query holds are built: token arrays are
-computed in the scan, chunk lengths come from their sizes without a shuffle,
-and the explode is filtered by the queries' vocabulary (a semi join that
-Spark broadcasts while the vocabulary is small) before anything is shuffled.
+``top_chunks`` ranks without building postings: the queries' weights are
+broadcast in blocks of bounded size, tokens are split in the JVM, and each batch
+of chunks is scored by a matrix product and cut to its best k rows per query. A
+first pass counts document frequencies and lengths. What is shuffled is at most
+queries * k rows a batch, however long the posting lists of common tokens are.
+
+``chunk_scores`` is the relational form: postings of the queries' vocabulary
+only (a semi join before anything is shuffled), joined with the query tokens;
+it returns every score, for audits and further joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,20 +110,115 @@ def to_documents(top: DataFrame, p: Bm25 = Bm25(), chunk: str = "window_idx", ev
     return top_k(docs, p.top_docs, ["best_chunk_rank", "doc_id"])
 
 
+BLOCK_QUERIES = 2048
+BATCH_CELLS = 1 << 23
+
+
+class _Block:
+    """A block of queries: vocabulary, and how often each query holds each token."""
+
+    def __init__(self, rows: list) -> None:
+        self.queries = sorted({r["query_id"] for r in rows})
+        self.vocabulary = sorted({r["token"] for r in rows})
+        column = {t: i for i, t in enumerate(self.vocabulary)}
+        row = {q: i for i, q in enumerate(self.queries)}
+        self.counts = np.zeros((len(self.vocabulary), len(self.queries)))
+        for r in rows:
+            self.counts[column[r["token"]], row[r["query_id"]]] = r["qtf"]
+        self.df = np.zeros(len(self.vocabulary))
+        self.n_chunks = self.average = 0.0
+
+    def frequencies(self, batch: pa.RecordBatch, heading_weight: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, weighted token counts as a dense matrix) of runs of a batch's chunks."""
+        step = max(1, BATCH_CELLS // max(1, len(self.vocabulary)))
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            tf = np.zeros((part.num_rows, len(self.vocabulary)))
+            for name, weight in (("__b", 1.0), ("__h", heading_weight)):
+                lists = part.column(part.schema.get_field_index(name))
+                token = pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string())).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                known = ~np.isnan(token) if token.dtype.kind == "f" else np.ones(len(token), bool)
+                np.add.at(tf, (owner[known], token[known].astype(np.int64)), weight)
+            yield start, tf
+
+
+def _count_block(sent, heading_weight: float):
+    def run(batches):
+        block = sent.value
+        df, n, length = np.zeros(len(block.vocabulary)), 0, 0.0
+        for batch in batches:
+            n += batch.num_rows
+            length += float(np.sum(batch.column(batch.schema.get_field_index("chunk_len")).to_numpy(zero_copy_only=False)))
+            for _, tf in block.frequencies(batch, heading_weight):
+                df += (tf > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, np.arange(len(df))].astype(np.int64)), pa.array(np.r_[n, length, df])], names=["slot", "n"])
+
+    return run
+
+
+def _score_block(sent, trials, heading_weight: float, k: int, keys: int):
+    def run(batches):
+        block = sent.value
+        idf = np.log(1 + (block.n_chunks - block.df + 0.5) / (block.df + 0.5))
+        weights = block.counts * idf[:, None]
+        for batch in batches:
+            length = batch.column(batch.schema.get_field_index("chunk_len")).to_numpy(zero_copy_only=False)
+            for start, tf in block.frequencies(batch, heading_weight):
+                own = length[start : start + len(tf), None]
+                for trial, k1, b in trials:
+                    scores = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * own / block.average))) @ weights
+                    best = np.round(scores, 9)
+                    # Ties at the cut stay in; the global rank settles them by key.
+                    if len(best) > k:
+                        cut = np.partition(best, len(best) - k, axis=0)[len(best) - k]
+                        inside = (best >= cut) & (best > 0)
+                    else:
+                        inside = best > 0
+                    row, query = np.nonzero(inside)
+                    if not len(row):
+                        continue
+                    taken = [batch.column(i).take(pa.array(row + start)) for i in range(keys)]
+                    ids = pa.array(block.queries).take(pa.array(query))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), trial, np.int32)), ids, *taken, pa.array(scores[row, query])], names=["trial", "query_id", *batch.schema.names[:keys], "score"])
+
+    return run
+
+
+def scored_chunks(queries: DataFrame, chunks: DataFrame, trials: list[tuple[int, float, float]], k: int, p: Bm25 = Bm25(), key: tuple[str, ...] = ("doc_id", "window_idx"), block: int = BLOCK_QUERIES) -> DataFrame:
+    """(trial, query_id, key..., score): at least the ``k`` best chunks of every
+    query and trial (trial, k1, b), cut per batch. Queries go in blocks of about ``block``."""
+    spark = chunks.sparkSession
+    asked = query_tokens(queries, p)
+    blocks = max(1, -(-queries.count() // block))
+    tokens = chunk_tokens(chunks, p).select(*key, "chunk_len", "__b", "__h")
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
+    query_kind = asked.schema["query_id"].dataType.simpleString()
+    schema = ", ".join(["trial int", f"query_id {query_kind}", *[f"`{c}` {kinds[c]}" for c in key], "score double"])
+    found = None
+    for i in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # tokens of one block
+        if not rows:
+            continue
+        own = _Block(rows)
+        sent = spark.sparkContext.broadcast(own)
+        counted = dict(tokens.mapInArrow(_count_block(sent, p.heading_weight), "slot long, n double").groupBy("slot").agg(F.sum("n")).collect())
+        sent.unpersist()
+        own.n_chunks, own.average = counted.get(-2, 0.0), counted.get(-1, 0.0) / max(1.0, counted.get(-2, 0.0)) or 1.0
+        own.df = np.array([counted.get(j, 0.0) for j in range(len(own.vocabulary))])
+        part = tokens.mapInArrow(_score_block(spark.sparkContext.broadcast(own), trials, p.heading_weight, k, len(key)), schema)
+        found = part if found is None else found.unionAll(part)
+    return found if found is not None else spark.createDataFrame([], schema)
+
+
+def top_chunks(queries: DataFrame, chunks: DataFrame, p: Bm25 = Bm25(), key: tuple[str, ...] = ("doc_id", "window_idx")) -> DataFrame:
+    """(query_id, key..., score, rank): the ``p.top_chunks`` best chunks per query."""
+    scored = scored_chunks(queries, chunks, [(0, p.k1, p.b)], p.top_chunks, p, key).drop("trial")
+    return top_k(scored, p.top_chunks, list(key))
+
+
 def rank(queries: DataFrame, chunks: DataFrame, p: Bm25 = Bm25(), key: tuple[str, str] = ("doc_id", "window_idx")) -> DataFrame:
     """BM25 ranking of documents for every query."""
-    pool = top_k(chunk_scores(queries, chunks, p, key), p.top_chunks, list(key))
-    return to_documents(pool, p, key[1])
+    return to_documents(top_chunks(queries, chunks, p, key), p, key[1])
 
 
-def grid_chunk_scores(queries: DataFrame, chunks: DataFrame, trials: DataFrame, p: Bm25 = Bm25(), key: tuple[str, ...] = ("doc_id", "window_idx")) -> DataFrame:
-    """(trial, query_id, key..., score) for trials (trial, k1, b) of one index: postings are
-    built once, and the parameter rows are joined in just before the sum."""
-    key = list(key)
-    asked = query_tokens(queries, p)
-    tokens = chunk_tokens(chunks, p)
-    totals = tokens.agg(F.count("*").alias("n_chunks"), F.avg("chunk_len").alias("avg_len"))
-    posted = postings(tokens, asked.select("token").distinct(), p, key)
-    scored = asked.join(posted, "token").join(document_frequency(posted, totals), "token").crossJoin(F.broadcast(totals.select("avg_len"))).crossJoin(F.broadcast(trials))
-    part = F.col("qtf") * F.col("idf") * term_weight(F.col("tf"), F.col("chunk_len"), F.col("avg_len"), F.col("k1"), F.col("b"))
-    return scored.groupBy("trial", "query_id", *key).agg(F.sum(part).alias("score"))

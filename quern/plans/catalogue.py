@@ -135,17 +135,17 @@ def _(spark, sf):
 
 @query("t16_metadata_rank", rf"""WITH {SQL_META}, q AS (
   SELECT page_id AS query_id, list_distinct(regexp_extract_all(lower(url), '\b(?:19\d{{2}}|20\d{{2}})\b')) AS years,
-    list_distinct(regexp_extract_all(url, '\b\d{{1,5}}(?:/\d{{4}})?(?:/[a-zA-ZĐđ0-9.-]+)?\b')) AS numbers FROM pages WHERE page_id < 20
+    list_distinct(regexp_extract_all(url, '\b\d{{1,5}}(?:/\d{{4}})?(?:/[a-zA-ZĐđ0-9.-]+)?\b')) AS numbers FROM pages WHERE page_id % 100 = 0
 ), s AS (
   SELECT query_id, page_id, 2.0 * len(list_intersect(q.years, meta.years)) + len(list_filter(numbers, lambda n: n <> '' AND contains(lower(issue_number || ' ' || url), lower(n)))) AS score
   FROM q CROSS JOIN meta JOIN pages USING (page_id)
 )
 SELECT query_id, page_id AS doc_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM s WHERE score > 0""")
 def _(spark, sf):
-    # The twenty first pages' urls are the stated questions, against every page.
+    # The urls of pages with an id divisible by 100 are the stated questions, against every page.
     pages = D.table(spark, sf, "pages")
     meta = pages.select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("position"), F.col("url").alias("heading"), chunking.metadata(F.lit(""), F.col("url"), F.col("html")).alias("metadata"))
-    asked = pages.filter("page_id < 20").select(F.col("page_id").alias("query_id"), chunking.question_signals(F.col("url")).alias("signals"))
+    asked = pages.filter("page_id % 100 = 0").select(F.col("page_id").alias("query_id"), chunking.question_signals(F.col("url")).alias("signals"))
     ranked = chunking.metadata_rank(meta.crossJoin(F.broadcast(asked)))
     return r6(ranked.select("query_id", "doc_id", "score", "rank"))
 
@@ -239,9 +239,14 @@ def _(spark, sf):
 
 
 @query("a4_bm25_chunks", f"WITH {SQL_BM25} SELECT query_id, doc_id, CAST(window_idx AS BIGINT) AS window_idx, round(score, 6) AS score, rank FROM pool")
+def _(spark, sf):
+    return r6(lexical.top_chunks(D.questions(spark, sf), D.windows(spark, sf)).select("query_id", "doc_id", "window_idx", "score", "rank"))
+
+
+@query("j1_query_postings", f"WITH {SQL_BM25} SELECT query_id, doc_id, CAST(window_idx AS BIGINT) AS window_idx, round(score, 6) AS score FROM scored")
 def _(spark, sf):
     scored = lexical.chunk_scores(D.questions(spark, sf), D.windows(spark, sf))
-    return r6(lexical.top_k(scored, V.TOP_CHUNKS, ["doc_id", "window_idx"]).select("query_id", "doc_id", "window_idx", "score", "rank"))
+    return r6(scored.select("query_id", "doc_id", "window_idx", "score"))
 
 
 SQL_DOCS = """SELECT * FROM (SELECT query_id, doc_id, round({s}, 6) AS score, round(mx, 6) AS max_chunk_score, round(m3, 6) AS mean_top3_chunk_score, sup AS support_count,
@@ -262,7 +267,7 @@ def _(spark, sf):
 
 @query("w3_evidence", f"WITH {SQL_BM25} SELECT query_id, doc_id, CAST(n AS BIGINT) AS place, CAST(window_idx AS BIGINT) AS window_idx, round(score, 6) AS score FROM own WHERE n <= 3")
 def _(spark, sf):
-    pool = lexical.top_k(lexical.chunk_scores(D.questions(spark, sf), D.windows(spark, sf)), V.TOP_CHUNKS, ["doc_id", "window_idx"])
+    pool = lexical.top_chunks(D.questions(spark, sf), D.windows(spark, sf))
     found = lexical.to_documents(pool, lexical.Bm25(top_docs=V.TOP_CHUNKS))
     rows = found.select("query_id", "doc_id", F.explode("evidence").alias("e"))
     return r6(rows.select("query_id", "doc_id", F.col("e.__n").alias("place"), F.col("e.chunk").alias("window_idx"), "e.score"))
@@ -278,8 +283,7 @@ TRIALS = ((0, 1.5, 0.75), (1, 1.2, 0.75), (2, 1.8, 0.75), (3, 1.5, 0.55), (4, 1.
 SELECT CAST(trial AS BIGINT) AS trial, query_id, doc_id, CAST(window_idx AS BIGINT) AS window_idx, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY trial, query_id ORDER BY round(score, 9) DESC, doc_id, window_idx) AS rank FROM g) WHERE rank <= 20""")
 def _(spark, sf):
-    trials = spark.createDataFrame(list(TRIALS), "trial int, k1 double, b double")
-    scored = lexical.grid_chunk_scores(D.questions(spark, sf), D.windows(spark, sf), trials)
+    scored = lexical.scored_chunks(D.questions(spark, sf), D.windows(spark, sf), list(TRIALS), 20)
     w = Window.partitionBy("trial", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id", "window_idx")
     return r6(scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("trial", "query_id", "doc_id", "window_idx", "score", "rank"))
 
@@ -290,20 +294,20 @@ def _(spark, sf):
 @query("v1_dense_search", """SELECT query_id, chunk_idx, round(score, 6) AS score, rank FROM (
   SELECT q.vec_id AS query_id, c.vec_id AS chunk_idx, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) DESC, c.vec_id) AS rank
-  FROM embeddings q JOIN embeddings c ON q.vec_id < 20 AND c.vec_id >= 20) WHERE rank <= 100""")
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0) WHERE rank <= 100""")
 def _(spark, sf):
     rows = D.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = rows.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id")
-    return r6(dense.dense_search(asked, rows.filter("vec_id >= 20").withColumnRenamed("vec_id", "chunk_idx"), V.TOP_DOCS))
+    asked = rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return r6(dense.dense_search(asked, rows.withColumnRenamed("vec_id", "chunk_idx"), V.TOP_DOCS))
 
 
 @query("v5_semantic_pool", """SELECT query_id, chunk_idx, round(score, 6) AS score, rank AS pool_rank FROM (
   SELECT q.vec_id AS query_id, c.vec_id AS chunk_idx, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) DESC, c.vec_id) AS rank
-  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id < 100 AND q.vec_id <> c.vec_id) WHERE rank <= 40""")
+  FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 40""")
 def _(spark, sf):
     rows = D.table(spark, sf, "embeddings")
-    asked = rows.filter("vec_id < 100").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
     pairs = rows.select(F.col("vec_id").alias("chunk_idx"), "label", F.col("embedding").alias("chunk_vector")).join(F.broadcast(asked), "label").filter("query_id <> chunk_idx")
     return r6(dense.semantic_pool(dense.pair_scores(pairs)).select("query_id", "chunk_idx", "score", "pool_rank"))
 
