@@ -16,7 +16,7 @@ columns that are not named are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quern.llm.common import SPACE_CLASS, text_or_empty
@@ -121,9 +121,10 @@ def id_buckets(df: DataFrame, doc_id: str, rows: int = 512, most: int = 100_000,
     return F.coalesce((seg - 1).cast("bigint") * F.lit(fine) + within, F.lit(-1).cast("bigint"))
 
 
-def with_next(df: DataFrame, doc_id: str, carry: list[str], rows: int = 512) -> DataFrame:
-    """Add ``next_<c>`` for each column of ``carry``: its value in the row that
-    follows in ascending (id, carried columns); after the last, the first.
+def with_next(df: DataFrame, doc_id: str, carry: list[str], rows: int = 512) -> tuple[DataFrame, WindowSpec]:
+    """Rows dealt out so that ``lead`` over the returned window is the row that
+    follows in ascending (id, carried columns); after the last, the first. Rows
+    with ``__copy`` 1 are there to be led to only.
 
     Rows are dealt to buckets of consecutive ids; the first ids of each bucket
     are also sent to the bucket before it. So each row moves once and no task

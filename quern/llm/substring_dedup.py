@@ -298,7 +298,7 @@ def repeated_levels(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     found = materialise(_level(docs, found, parts, _shared(window, parts), False))
     out, size = None, window
     while True:
-        level = found.mapInArrow(_count_level, "doc_id long, windows long").groupBy("doc_id").agg(F.sum("windows").alias("windows"))
+        level = found.groupBy("part").applyInArrow(_count_level, "doc_id long, windows long")
         level = level.select("doc_id", F.lit(size).cast("long").alias("level_words"), "windows")
         out = level if out is None else out.union(level)
         if found.isEmpty():
@@ -321,13 +321,11 @@ def _shared(window: int, buckets: int):
     return run
 
 
-def _count_level(batches):
-    for batch in batches:
-        docs = _joined(batch.column(2), np.int64)
-        hashes = _joined(batch.column(1), np.uint64)
-        _, docs, _ = _distinct(hashes, docs)
-        ids, n = np.unique(docs, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["doc_id", "windows"])
+def _count_level(group: pa.Table) -> pa.Table:
+    """All entries of a document are in one group; an entry may have come by two ways."""
+    _, docs, _ = _distinct(_joined(group.column("hash"), np.uint64), _joined(group.column("doc"), np.int64))
+    ids, n = np.unique(docs, return_counts=True)
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "windows": pa.array(n, pa.int64())})
 
 
 def op9_substring_dedup(spark, sf_dir):
