@@ -1,8 +1,8 @@
 """Cleaning, metadata, structural sections and windows of documents.
 
-Row-wise expressions but for sections, whose heading stack is a running state
-over the lines of a document: there, lines are exploded and each level is the
-last heading seen since a higher one reset it, by windows per document.
+All of it is row-wise, so nothing is shuffled: a document's lines are an array,
+sections are slices of it between boundary lines, and the heading stack is a
+fold over the headings.
 """
 
 from __future__ import annotations
@@ -110,45 +110,55 @@ def metadata_rank(candidates: DataFrame, query: str = "query_id", position: str
     return scored.withColumn("rank", F.row_number().over(w))
 
 
-def sections(df: DataFrame, doc_id: str, text: str, compat: bool = False) -> DataFrame:
-    """(doc_id, section_idx, text, heading, structure): the preamble and one
-    section from each boundary line to the next."""
-    boundary = "(?iuU)^\\s*(?:" + "|".join(V.BOUNDARIES) + ")\\s*$"
-    lines = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    lines = lines.withColumn("is_boundary", F.col("line").rlike(boundary))
-    lines = lines.withColumn("section", F.sum(F.col("is_boundary").cast("int")).over(order))
-    bodies = lines.groupBy("doc_id", "section").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"), F.max(F.when(F.col("is_boundary"), F.col("line"))).alias("title")
-    )
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    bodies = bodies.select(
-        "doc_id",
-        "section",
-        strip(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("text"),
-        F.coalesce(T.squeeze(F.col("title")), F.lit("")).alias("heading"),
-    )
-    form = T.match_form(F.col("heading"), map_d=not compat)
-    level = F.lit(None).cast("string")
-    for name in reversed(V.LEVELS):
-        level = F.when(form.startswith(V.LEVEL_PREFIX[name]), name).otherwise(level)
-    bodies = bodies.withColumn("level", level)
-    by = Window.partitionBy("doc_id").orderBy("section")
+def _stack(acc: Column, x: Column) -> Column:
+    """One heading: it sets its level and clears those that its level resets."""
+    now = []
     for name in V.LEVELS:
-        # A heading of this level sets it, one that resets it clears it.
+        value = F.when(x["level"] == name, x["heading"])
         resets = [k for k, gone in V.LEVEL_RESETS.items() if name in gone]
-        event = F.when(F.col("level") == name, F.col("heading"))
         if resets:
-            event = event.when(F.col("level").isin(resets), F.lit(""))
-        bodies = bodies.withColumn(f"__{name}", F.coalesce(F.last(event, ignorenulls=True).over(by), F.lit("")))
-    kept = bodies.filter(F.col("text") != "")
-    return kept.select(
-        "doc_id",
-        (F.row_number().over(by) - 1).alias("section_idx"),
-        "text",
-        "heading",
-        F.struct(*[F.col(f"__{n}").alias(n) for n in V.LEVELS]).alias("structure"),
+            value = value.when(x["level"].isin(resets), F.lit(""))
+        now.append(value.otherwise(acc[name]).alias(name))
+    return F.struct(*now, F.concat(acc["out"], F.array(F.struct(*now))).alias("out"))
+
+
+def with_sections(df: DataFrame, text: str, out: str = "sections", compat: bool = False) -> DataFrame:
+    """Add array<struct(text, heading, structure)>: the preamble and one section
+    from each boundary line to the next; blank ones are left out."""
+    boundary = "(?iuU)^\\s*(?:" + "|".join(V.BOUNDARIES) + ")\\s*$"
+    df = df.withColumn("__lines", F.split(text, "\n"))
+    df = df.withColumn("__at", F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(boundary), i)), lambda i: i.isNotNull()))
+    df = df.withColumn("__from", F.array_distinct(F.concat(F.array(F.lit(0)), "__at")))
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    end = lambda k: F.coalesce(F.get("__from", k + 1), F.size("__lines"))
+    cut = F.transform(
+        "__from",
+        lambda i, k: F.struct(
+            strip(F.array_join(F.slice("__lines", i + 1, end(k) - i), "\n")).alias("text"),
+            F.when(F.array_contains("__at", i), T.squeeze(F.get("__lines", i))).otherwise(F.lit("")).alias("heading"),
+        ),
     )
+    df = df.withColumn("__cut", cut)
+
+    def level(heading: Column) -> Column:
+        form, found = T.match_form(heading, map_d=not compat), F.lit(None).cast("string")
+        for name in reversed(V.LEVELS):
+            found = F.when(form.startswith(V.LEVEL_PREFIX[name]), name).otherwise(found)
+        return found
+
+    fields = ", ".join(f"{n}: string" for n in V.LEVELS)
+    first = F.struct(*[F.lit("").alias(n) for n in V.LEVELS], F.array().cast(f"array<struct<{fields}>>").alias("out"))
+    headings = F.transform("__cut", lambda x: F.struct(x["heading"].alias("heading"), level(x["heading"]).alias("level")))
+    df = df.withColumn("__stack", F.aggregate(headings, first, _stack, lambda acc: acc["out"]))
+    full = F.transform("__cut", lambda x, k: F.struct(x["text"].alias("text"), x["heading"].alias("heading"), F.get("__stack", k).alias("structure")))
+    return df.withColumn(out, F.filter(full, lambda x: x["text"] != "")).drop("__lines", "__at", "__from", "__cut", "__stack")
+
+
+def sections(df: DataFrame, doc_id: str, text: str, compat: bool = False) -> DataFrame:
+    """(doc_id, section_idx, text, heading, structure), a row per section."""
+    found = with_sections(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text", compat=compat)
+    rows = found.select("doc_id", F.posexplode("sections").alias("section_idx", "s"))
+    return rows.select("doc_id", "section_idx", "s.text", "s.heading", "s.structure")
 
 
 def window_bounds(n: Column, window: int = V.WINDOW_WORDS, overlap: int = V.OVERLAP_WORDS) -> Column:
@@ -174,7 +184,8 @@ def chunks(df: DataFrame, doc_id: str = "doc_id", name: str = "name", link: str
     """Clean, split into sections and cut long or untitled ones into windows."""
     base = clean_text(df.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("name"), F.col(link).alias("link"), F.col(passage).alias("passage")), "passage", stats=None)
     base = base.withColumns({"metadata": metadata(F.col("name"), F.col("link"), F.col("clean_text")), "clean_checksum": T.sha1(F.col("clean_text"))})
-    cut = sections(base, "doc_id", "clean_text").join(base.select("doc_id", "name", "metadata", "clean_checksum"), "doc_id")
+    cut = with_sections(base, "clean_text").select("doc_id", "name", "metadata", "clean_checksum", F.posexplode("sections").alias("section_idx", "s"))
+    cut = cut.select("*", "s.text", "s.heading", "s.structure").drop("s")
     cut = cut.withColumn("__words", T.words(F.col("text")))
     n = F.size("__words")
     sliding = (n > long_section) | (F.col("heading") == "")

@@ -27,6 +27,17 @@ def rrf(rankings: DataFrame, weights: DataFrame, k: int = V.RRF_K, tie: str = "f
     return ranked(fused, by, _ties(tie), top).drop("__seen", "__rank")
 
 
+def rrf_configs(rankings: DataFrame, configs: DataFrame, top: int = V.ANSWER_DOCS) -> DataFrame:
+    """Named configurations (config, k, branch, weight, depth, branch_order) in one job:
+    (config, query_id, doc_id, score, rank). A depth of 0 takes the whole branch."""
+    joined = rankings.join(F.broadcast(configs), "branch").filter("weight > 0 and (depth <= 0 or rank <= depth)")
+    fused = joined.groupBy("config", "query_id", "doc_id").agg(
+        F.sum(F.col("weight") / (F.col("k") + F.col("rank"))).alias("score"),
+        F.min(F.struct("rank", "branch_order")).alias("__rank"),
+    )
+    return ranked(fused, ("config", "query_id"), _ties("rank_first"), top).drop("__rank")
+
+
 def _ties(tie: str) -> list[Column]:
     if tie not in TIES:
         raise ValueError(f"tie is one of {TIES}")

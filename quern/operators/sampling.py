@@ -35,6 +35,14 @@ def folds(df: DataFrame, ident: str, stratum: str, k: int = 5, seed: str = "fold
     return df.withColumn("fold", (F.row_number().over(own) - 1) % k + 1)
 
 
+def phases(assigned: DataFrame, ident: str, k: int = 5) -> DataFrame:
+    """(ident, phase, role): in phase oof_fold_i, fold i is held out and the rest is the base."""
+    each = F.explode(F.sequence(F.lit(1), F.lit(k)))
+    rows = assigned.select(ident, "fold", each.alias("__k"))
+    role = F.when(F.col("fold") == F.col("__k"), "heldout").otherwise("base")
+    return rows.select(ident, F.concat(F.lit("oof_fold_"), F.col("__k").cast("string")).alias("phase"), role.alias("role"))
+
+
 def audit_folds(assigned: DataFrame, ident: str, k: int = 5) -> DataFrame:
     """Ids that are not in exactly one fold of 1..k: (ident, n)."""
     counts = assigned.groupBy(ident).agg(F.sum(F.col("fold").between(1, k).cast("int")).alias("n"))

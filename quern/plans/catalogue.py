@@ -352,6 +352,25 @@ def _(spark, sf):
     return r6(fusion.rrf(D.rankings(spark, sf), weights).select("query_id", "doc_id", "score", "rank"))
 
 
+CONFIGS = [(f"{b}_{str(w).replace('.', 'p')}", 60.0, br, wt, d, o) for b in ("b", "c") for w in (0.25, 0.4, 0.6) for br, wt, d, o in (("a", 1.0, 0, 0), (b, w, 20, 1))]
+
+
+@query("f8_candidate_sets", f"""WITH {D.SQL_RANKINGS}, configs(config, k, branch, weight, depth, o) AS (VALUES {', '.join(map(str, CONFIGS))}), f AS (
+  SELECT config, query_id, doc_id, sum(CAST(weight AS DOUBLE) / (CAST(k AS DOUBLE) + rank)) AS score, min({{'r': rank, 'o': o}}) AS first FROM rankings JOIN configs USING (branch) WHERE depth = 0 OR rank <= depth GROUP BY 1, 2, 3
+)
+SELECT config, query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY round(score, 9) DESC, first, doc_id) AS rank FROM f) WHERE rank <= 5""")
+def _(spark, sf):
+    configs = spark.createDataFrame(CONFIGS, "config string, k double, branch string, weight double, depth int, branch_order int")
+    return r6(fusion.rrf_configs(D.rankings(spark, sf), configs).select("config", "query_id", "doc_id", "score", "rank"))
+
+
+@query("x10_phases", """WITH f AS (SELECT doc_id, (row_number() OVER (PARTITION BY 2 * quality + toxic ORDER BY sha1('folds|' || doc_id), doc_id) - 1) % 5 + 1 AS fold FROM labels)
+SELECT 'oof_fold_' || k AS phase, CASE WHEN fold = k THEN 'heldout' ELSE 'base' END AS role, count(*) AS n FROM f CROSS JOIN (SELECT unnest(range(1, 6)) AS k) GROUP BY 1, 2""")
+def _(spark, sf):
+    assigned = sampling.folds(_labelled(spark, sf), "doc_id", "stratum")
+    return sampling.phases(assigned, "doc_id").groupBy("phase", "role").agg(F.count("*").alias("n"))
+
+
 @query("w7_min_max", f"""WITH {D.SQL_RANKINGS}, t AS (SELECT * FROM rankings WHERE branch = 'b' AND rank <= 50), m AS (
   SELECT query_id, doc_id, rank, score, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM t)
 SELECT query_id, doc_id, round(CASE WHEN hi - lo < 1e-12 THEN 0.5 ELSE (score - lo) / (hi - lo) END, 6) AS scaled FROM m""")

@@ -66,6 +66,24 @@ def read_contexts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return good, bad.unionByName(twice)
 
 
+def read_query_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id) of an object keyed by id, of a list of objects with id, qid or index, or of such a list under ``questions``."""
+    whole = spark.read.option("wholetext", True).text(path)
+    item = "array<struct<id:string,qid:string,index:string>>"
+    listed = F.coalesce(
+        F.when(F.trim("value").startswith("["), F.from_json("value", item)), F.from_json("value", f"questions {item}")["questions"]
+    )
+    ids = F.coalesce(F.transform(listed, lambda x: F.coalesce(x["id"], x["qid"], x["index"])), F.map_keys(F.from_json("value", "map<string,string>")))
+    return whole.select(F.explode(ids).alias("query_id"))
+
+
+def checked_split(queries: DataFrame) -> DataFrame:
+    """(query_id, gold) with distinct ids in order; fails where a query has none."""
+    gold = L.ordered_distinct(F.coalesce(*[F.col(c) for c in ("answer", "gold") if c in queries.columns], F.array().cast("array<string>")))
+    lost = F.raise_error(F.concat(F.lit("no relevant document for query "), F.col("query_id"))).cast("array<string>")
+    return queries.select("query_id", F.when(F.size(gold) > 0, gold).otherwise(lost).alias("gold"))
+
+
 def doc_index(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_idxs, metadata): a document's chunks in order and its first chunk's metadata."""
     return chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list("chunk_idx")).alias("chunk_idxs"), F.min_by("metadata", "chunk_idx").alias("metadata"))

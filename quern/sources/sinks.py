@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import fixed_values as V
@@ -88,3 +89,14 @@ def write_embeddings(df: DataFrame, path: str, key: str = "chunk_idx", vector: s
     if not hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):
         df.select(key, vector).write.parquet(path)
     return spark.read.parquet(path)
+
+
+def reuse_or_write(spark: SparkSession, path: str, build: Callable[[], DataFrame], valid: Callable[[DataFrame], bool]) -> DataFrame:
+    """The table at ``path`` if it is there and ``valid``; else ``build()`` written to it."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):
+        kept = spark.read.parquet(path)
+        if valid(kept):
+            return kept
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

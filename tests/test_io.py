@@ -88,3 +88,34 @@ def test_jsonl_reports_and_features(spark, tmp_path):
     vectors = spark.createDataFrame([(0, [1.0, 0.0])], "chunk_idx int, embedding array<double>")
     sinks.write_embeddings(vectors, str(tmp_path / "e"))
     assert sinks.write_embeddings(vectors.limit(0), str(tmp_path / "e")).count() == 1
+
+
+def test_query_ids_and_splits(spark, tmp_path):
+    for name, payload in {"a": {"1": {}, "2": {}}, "b": [{"qid": "1"}, {"index": 2}], "c": {"questions": [{"id": "1"}, {"id": "2"}]}}.items():
+        (tmp_path / name).write_text(json.dumps(payload))
+        assert sorted(r["query_id"] for r in readers.read_query_ids(spark, str(tmp_path / name)).collect()) == ["1", "2"], name
+    df = spark.createDataFrame([("1", ["x", "x", ""]), ("2", [])], "query_id string, answer array<string>")
+    assert readers.checked_split(df.filter("query_id = '1'")).first()["gold"] == ["x"]
+    with pytest.raises(Exception, match="no relevant document"):
+        readers.checked_split(df).collect()
+
+
+def test_reuse(spark, tmp_path):
+    path = str(tmp_path / "part")
+    build = lambda n: lambda: spark.range(n)
+    assert sinks.reuse_or_write(spark, path, build(3), lambda d: True).count() == 3
+    assert sinks.reuse_or_write(spark, path, build(5), lambda d: d.count() == 3).count() == 3
+    assert sinks.reuse_or_write(spark, path, build(5), lambda d: d.count() == 5).count() == 5
+
+
+def test_window_stream(spark, tmp_path):
+    from quern.operators import chunking
+    from quern.streaming import ingest
+
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(400))), (2, "short text"), (3, None)], "doc_id int, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = ingest.window_stream(spark, str(tmp_path / "in"), "doc_id int, text string")
+    ingest.write_windows(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "window_idx", "body")
+    want = chunking.windows(chunking.clean_text(df.filter("text is not null"), "text", stats=None), "clean_text").select("doc_id", "window_idx", "body")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
