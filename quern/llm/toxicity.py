@@ -2,7 +2,8 @@
 
 Texts are folded first: lower case, zero-width characters dropped, Cyrillic,
 Greek and full-width look-alikes and digits or signs inside words mapped to the
-Latin letters they stand for. The automaton holds whole words, word beginnings
+Latin letters they stand for, and words spelt out with dots, dashes, underscores
+or stars joined. The automaton holds whole words, word beginnings
 (stems) and exception phrases; what an exception phrase covers does not count,
 and each word counts once, with the largest weight that matches it.
 
@@ -40,23 +41,25 @@ LEAST_WEIGHT = 2.0
 STEMS = range(4, 9)
 
 # Look-alikes and substitutions, character by character.
-LOOKS = ("аеорсухівкмнтѕјӏԁոαβεικνορτυχωρɡıⅰ", "aeopcyxibkmhtsjldnabeiknoptuxwpgii")
-DIGITS = ("0134578", "oleastb")
-SIGNS = ("@$!|", "asil")
+LOOKS = ("аеорсухівкмнтѕјӏԁոαβεικνορτυχωρɡıⅰl", "aeopcyxibkmhtsjidnabeiknoptuxwpgiii")
+DIGITS = ("0134578", "oieastb")
+SIGNS = ("@$!|+", "asiit")
+#: l, 1 and i look alike and all become i, in texts and entries.
 #: Harmless phrases around entries of common lexicons.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "loser bracket", "pond scum", "soap scum")
 
 _FOLD = str.maketrans(LOOKS[0] + DIGITS[0], LOOKS[1] + DIGITS[1]) | {0xFF41 + i: 0x61 + i for i in range(26)}
 _FOLD |= dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
-_SIGN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
+_SIGN = re.compile(r"(?<=[^\W_])[@$!|+](?=[^\W_])")
+_SPELT = re.compile(r"(?<![^\W_])[^\W_](?:[.*_-][^\W_]){2,}(?![^\W_])")
 _SIGN_OF = dict(zip(*SIGNS))
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """The folded words of a text."""
-    low = (text or "").lower().translate(_FOLD)
-    return _WORD.findall(_SIGN.sub(lambda m: _SIGN_OF[m[0]], low))
+    low = _SIGN.sub(lambda m: _SIGN_OF[m[0]], (text or "").lower().translate(_FOLD))
+    return _WORD.findall(_SPELT.sub(lambda m: m[0][::2], low))
 
 
 def entries_of(word: str) -> list[str]:
@@ -81,7 +84,7 @@ class Model:
             key = f" {entry[:-1]}" if stem else f" {entry} "
             self.automaton.add_word(key, (len(key), w, False))
         for phrase in self.exceptions:
-            key = f" {phrase} "
+            key = f" {' '.join(words_of(phrase))} "
             self.automaton.add_word(key, (len(key), 0.0, True))
         self.automaton.make_automaton()
         return self

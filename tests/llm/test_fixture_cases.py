@@ -116,6 +116,7 @@ def test_toxicity(docs, none, spark):
     model.build()
     s = model.scores(["what a m0r0n he is", "a river and its stones", None, ""])
     assert s[0] >= 0.5 and (s[1:] < 0.5).all()
+    assert toxicity.words_of("1D10T c1own m.o.r-o-n lo$er f-x 3.14") == ["idiot", "ciown", "moron", "ioser", "f", "x", "e", "ia"]
     exempt = toxicity.Model({"trash": 5.0}, model.coef, model.power, ("trash can",)).build()
     assert exempt.matches("the trash can is full".split()) == [] and exempt.matches("this trash is full".split()) == [5.0]
     rows = toxicity.score_toxicity(docs.withColumn("score", F.lit("clash")), model).collect()
