@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE_CLASS, text_or_empty
+from quern.llm.common import SPACE_CLASS, buckets_for, input_bytes, text_or_empty
 
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 128
+#: Bytes of input for each task that pairs a document with the next.
+TASK_BYTES = 16e6
 _SPAN = float(1 << 64)
 
 
@@ -148,7 +150,8 @@ def with_next(df: DataFrame, doc_id: str, carry: list[str], rows: int = 512) ->
         F.explode(F.when(F.col("__before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.lit(1).alias("copy"), F.col("__before").alias("b"))))),
     )
     dealt = dealt.withColumns({"__copy": F.col("__to.copy"), "__b": F.col("__to.b")}).drop("__to", "__head", "__before")
-    dealt = dealt.repartition(F.col("__b"))
+    tasks = max(buckets_for(input_bytes(df), TASK_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(tasks, F.col("__b"))
     return dealt, Window.partitionBy("__b").orderBy("__copy", doc_id, *carry)
 
 
