@@ -311,11 +311,14 @@ def jaccard_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     classes = rows.filter("columns is not null").select("key", "size", "prefix", "columns")
     links = materialise(cluster_links(classes, percent, block_rows))
     groups = components(links)
-    # Sets of size 0 link with nothing: each such row is alone.
-    labelled = members.filter("size > 0").join(groups.select(F.col("node").alias("key"), "label"), "key", "left")
-    labelled = labelled.select("doc_id", "size", F.coalesce("label", "key").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    full = labelled.join(least, "label").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    # Sets of size 0 link with nothing: each such row is alone. Sums are made before
+    # joins and written, so that a join's only hot side is one Spark can split.
+    firsts = materialise(members.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("first")))
+    linked = groups.select(F.col("node").alias("key"), "label")
+    least = materialise(linked.join(firsts, "key").groupBy("label").agg(F.min("first").alias("least")))
+    linked = linked.join(least, "label").select("key", "least")
+    found = materialise(firsts.join(linked, "key", "left").select("key", F.coalesce("least", "first").alias("component_id")))
+    full = members.filter("size > 0").join(found, "key", "left").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return full.union(members.filter("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id")))
 
 
