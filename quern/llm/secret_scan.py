@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, table, text_or_empty
+from quern.llm.common import let, materialise, table, text_or_empty
 
 from re import _constants as sre_c
 from re import _parser as sre_p
@@ -174,11 +174,10 @@ def build_index(docs: DataFrame, doc_id: str, text: str, rules=RULES, block_rows
     """(block, postings map<trigram, array<id>>) for the trigrams of the rules' queries."""
     wanted = sorted(set().union(*(trigrams_of(trigram_query(r.regex)) for r in rules)))
     blocks = max(1, docs.count() // block_rows)
-    low = F.lower(text_or_empty(text))
+    held = let(F.lower(text_or_empty(text)), lambda low: F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(low, t)))
     hits = docs.filter(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("bigint").alias("id"), F.pmod(F.xxhash64(F.col(doc_id).cast("bigint")), F.lit(blocks)).alias("block"), low.alias("low")
+        F.col(doc_id).cast("bigint").alias("id"), F.pmod(F.xxhash64(F.col(doc_id).cast("bigint")), F.lit(blocks)).alias("block"), F.explode(held).alias("trigram")
     )
-    hits = hits.select("id", "block", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(F.col("low"), t))).alias("trigram"))
     lists = hits.groupBy("block", "trigram").agg(F.collect_set("id").alias("ids"))
     return lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "ids"))).alias("postings"))
 
@@ -205,8 +204,10 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     pattern = F.lit(rule.java)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     kept = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    gaps = F.transform(F.split(text, rule.java, -1), lambda p: F.length(p))
-    steps = F.transform(matches, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), F.length(m).alias("len"), F.length(F.get(kept, i)).alias("group")))
+    # Zipped, so that each list is made once; the piece after the last match has no match.
+    sizes = F.zip_with(matches, kept, lambda m, g: F.struct(F.length(m).alias("len"), F.length(g).alias("group")))
+    steps = F.zip_with(F.split(text, rule.java, -1), sizes, lambda p, s: F.struct(F.length(p).alias("gap"), s["len"].alias("len"), s["group"].alias("group")))
+    steps = F.filter(steps, lambda s: s["len"].isNotNull())
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("found"))
 
     def take(acc: Column, s: Column) -> Column:
