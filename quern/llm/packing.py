@@ -37,7 +37,7 @@ POOL_TOKENS = 4_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier int, step_group long"
 
 #: Distinct words whose ids are kept; the table is emptied when full.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 
 # Fixed value: the contractions that the vocabulary's pre-tokenizer splits off.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
