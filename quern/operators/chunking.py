@@ -7,6 +7,8 @@ fold over the headings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,36 +124,54 @@ def _stack(acc: Column, x: Column) -> Column:
     return F.struct(*now, F.concat(acc["out"], F.array(F.struct(*now))).alias("out"))
 
 
-def with_sections(df: DataFrame, text: str, out: str = "sections", compat: bool = False) -> DataFrame:
-    """Add array<struct(text, heading, structure)>: the preamble and one section
-    from each boundary line to the next; blank ones are left out."""
-    boundary = "(?iuU)^\\s*(?:" + "|".join(V.BOUNDARIES) + ")\\s*$"
-    df = df.withColumn("__lines", F.split(text, "\n"))
-    df = df.withColumn("__at", F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(boundary), i)), lambda i: i.isNotNull()))
-    df = df.withColumn("__from", F.array_distinct(F.concat(F.array(F.lit(0)), "__at")))
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    end = lambda k: F.coalesce(F.get("__from", k + 1), F.size("__lines"))
-    cut = F.transform(
-        "__from",
-        lambda i, k: F.struct(
-            strip(F.array_join(F.slice("__lines", i + 1, end(k) - i), "\n")).alias("text"),
-            F.when(F.array_contains("__at", i), T.squeeze(F.get("__lines", i))).otherwise(F.lit("")).alias("heading"),
-        ),
-    )
-    df = df.withColumn("__cut", cut)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A column that a lambda refers to
+    may be inlined there by the optimizer and computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    def level(heading: Column) -> Column:
-        form, found = T.match_form(heading, map_d=not compat), F.lit(None).cast("string")
+def _level(heading: Column, compat: bool) -> Column:
+    def of(form: Column) -> Column:
+        found = F.lit(None).cast("string")
         for name in reversed(V.LEVELS):
             found = F.when(form.startswith(V.LEVEL_PREFIX[name]), name).otherwise(found)
         return found
 
+    return let(T.match_form(heading, map_d=not compat), of)
+
+
+def with_sections(df: DataFrame, text: str, out: str = "sections", compat: bool = False) -> DataFrame:
+    """Add array<struct(text, heading, structure)>: the preamble and one section
+    from each boundary line to the next; blank ones are left out."""
+    boundary = "(?iuU)^\\s*(?:" + "|".join(V.BOUNDARIES) + ")\\s*$"
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     fields = ", ".join(f"{n}: string" for n in V.LEVELS)
     first = F.struct(*[F.lit("").alias(n) for n in V.LEVELS], F.array().cast(f"array<struct<{fields}>>").alias("out"))
-    headings = F.transform("__cut", lambda x: F.struct(x["heading"].alias("heading"), level(x["heading"]).alias("level")))
-    df = df.withColumn("__stack", F.aggregate(headings, first, _stack, lambda acc: acc["out"]))
-    full = F.transform("__cut", lambda x, k: F.struct(x["text"].alias("text"), x["heading"].alias("heading"), F.get("__stack", k).alias("structure")))
-    return df.withColumn(out, F.filter(full, lambda x: x["text"] != "")).drop("__lines", "__at", "__from", "__cut", "__stack")
+
+    def starts(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, i: F.when(x.rlike(boundary), i))
+        return F.array_distinct(F.concat(F.array(F.lit(0)), F.filter(marked, lambda i: i.isNotNull())))
+
+    def cut(lines: Column, begin: Column) -> Column:
+        ends = F.concat(F.slice(begin, F.lit(2), F.size(begin)), F.array(F.size(lines)))
+
+        def one(i: Column, end: Column) -> Column:
+            title = F.get(lines, i)
+            return F.struct(
+                strip(F.array_join(F.slice(lines, i + 1, end - i), "\n")).alias("text"),
+                F.when(title.rlike(boundary), T.squeeze(title)).otherwise(F.lit("")).alias("heading"),
+            )
+
+        return F.zip_with(begin, ends, one)
+
+    def stacked(parts: Column) -> Column:
+        headings = F.transform(parts, lambda x: F.struct(x["heading"].alias("heading"), _level(x["heading"], compat).alias("level")))
+        stack = F.aggregate(headings, first, _stack, lambda acc: acc["out"])
+        full = F.zip_with(parts, stack, lambda x, s: F.struct(x["text"].alias("text"), x["heading"].alias("heading"), s.alias("structure")))
+        return F.filter(full, lambda x: x["text"] != "")
+
+    whole = let(F.split(text, "\n"), lambda lines: let(starts(lines), lambda begin: let(cut(lines, begin), stacked)))
+    return df.withColumn(out, whole)
 
 
 def sections(df: DataFrame, doc_id: str, text: str, compat: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed_values as V
 from quern.functions import text as T
+from quern.operators.chunking import let
 
 
 def counts_of(tokens: Column) -> Column:
@@ -18,16 +19,24 @@ def overlap_scores(pairs: DataFrame, question: str = "question", body: str = "bo
     """Add ``overlap`` to (query, chunk) pairs: shared token occurrences over the
     question's distinct tokens, plus a bonus where the heading holds a token, and
     one where the chunk holds the question's first 80 characters."""
-    pairs = pairs.withColumns({"__q": T.evidence_tokens(F.col(question)), "__c": T.evidence_tokens(T.first_chars(F.col(body), body_chars))})
     n = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
-    shared = F.aggregate(F.array_distinct("__q"), F.lit(0), lambda s, t: s + F.least(n(F.col("__q"), t), n(F.col("__c"), t)))
-    score = shared / F.greatest(F.size(F.array_distinct("__q")), F.lit(1))
-    low = T.strip_accents(F.lower(F.col(heading)))
-    score = score + F.when(F.exists("__q", lambda t: F.contains(low, t)), heading_bonus).otherwise(0.0)
+
+    def score_of(q: Column, c: Column, low: Column) -> Column:
+        asked = F.array_distinct(q)
+        shared = F.aggregate(asked, F.lit(0), lambda s, t: s + F.least(n(q, t), n(c, t)))
+        in_heading = F.exists(q, lambda t: F.contains(low, t))
+        return shared / F.greatest(F.size(asked), F.lit(1)) + F.when(in_heading, heading_bonus).otherwise(0.0)
+
+    tokens = F.struct(
+        T.evidence_tokens(F.col(question)).alias("q"),
+        T.evidence_tokens(T.first_chars(F.col(body), body_chars)).alias("c"),
+        T.strip_accents(F.lower(F.col(heading))).alias("low"),
+    )
+    score = let(tokens, lambda x: score_of(x["q"], x["c"], x["low"]))
     if exact_bonus:
         start = T.first_chars(T.strip_accents(F.lower(F.col(question))), 80)
         score = score + F.when(F.contains(T.strip_accents(F.lower(F.col(body))), start), exact_bonus).otherwise(0.0)
-    return pairs.withColumn("overlap", score).drop("__q", "__c")
+    return pairs.withColumn("overlap", score)
 
 
 def pick(scored: DataFrame, n: int = 3, by: tuple[str, ...] = ("query_id", "doc_id"), words: str = "word_count", chunk: str = "window_idx", target: int = V.WINDOW_WORDS) -> DataFrame:
