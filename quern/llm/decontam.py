@@ -1,17 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts and items are compared as lower-case words without punctuation. Every
 ``seed_words``-gram of an item is a seed (the whole item, if it is shorter).
-One pass over all documents counts in how many each seed occurs. An item's rare
-seeds are those in few documents, and always at least the rarest half of them,
-so an item that is copied everywhere keeps seeds too. A second pass joins
-documents to items on rare seeds: hits on near diagonals make a passage, and
-the item is aligned with each passage by Smith-Waterman over words. The score
-is the best alignment's share of a full match (1: verbatim).
+One pass joins documents to items on all seeds, common ones too: hits on near
+diagonals make a passage, and the item is aligned with each passage by
+Smith-Waterman over words. The score is the best alignment's share of a full
+match (1: verbatim). A passage that holds too few of the item's words to reach
+the threshold is left out before; nothing else is. A document that shares no
+seed with an item is not compared with it.
 
-Both passes are row-wise and shuffle nothing but seed counts. The items are
-taken in slices of at most ``slice_bytes`` of text, so what is broadcast is
-bounded however large the benchmark is.
+The pass is row-wise and shuffles nothing. The items are taken in slices of at
+most ``slice_bytes`` of text, each a step and a broadcast of its own, so no
+broadcast grows with the benchmark.
 
 Null and empty texts match nothing; items without a word are left out; items
 that share an id count as one, by their best score. Extra columns of the
@@ -33,8 +33,6 @@ from quern.llm.wordhash import chunked, window_hashes, word_hashes
 SEED_WORDS = 4
 THRESHOLD = 0.5
 SLICE_BYTES = 4 << 20
-#: A seed is rare in fewer documents than this share of all, or this number.
-RARE_SHARE, RARE_ROWS = 1e-4, 20
 SLACK = 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 _U = np.uint64
@@ -82,23 +80,19 @@ class Items:
         keys = sorted(found, key=lambda k: k[1])
         self.hashes = np.array([h for _, h in keys], np.uint64)
         self.places = [found[k] for k in keys]
-        self.active = np.ones(len(keys), bool)
-        self.index()
-
-    def index(self) -> None:
-        """A bit table for a first test of a window, 16 bits of its hash."""
+        # A bit table for a first test of a window, 20 bits of its hash.
         self.table = np.zeros(1 << 20, bool)
-        self.table[(self.hashes[self.active] >> _U(44)).astype(np.int64)] = True
+        self.table[(self.hashes >> _U(44)).astype(np.int64)] = True
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, seed) of the active seeds in a run of words (over text borders too)."""
+        """(position, seed) of the seeds in a run of words (over text borders too)."""
         positions, seeds = [], []
         for size in self.sizes:
             h = window_hashes(words, size, seed=size)
             maybe = np.flatnonzero(self.table[(h >> _U(44)).astype(np.int64)])
             at = np.searchsorted(self.hashes, h[maybe])
             at[at == len(self.hashes)] = 0
-            right = (self.hashes[at] == h[maybe]) & self.active[at]
+            right = self.hashes[at] == h[maybe]
             positions.append(maybe[right])
             seeds.append(at[right])
         if not positions:
@@ -108,18 +102,6 @@ class Items:
     def seed_size(self) -> np.ndarray:
         return np.array([min(self.sizes[-1], len(self.words[p[0][0]])) for p in self.places])
 
-    def keep_rare(self, counts: np.ndarray, n_docs: int) -> None:
-        limit = max(RARE_ROWS, RARE_SHARE * n_docs)
-        self.active = counts <= limit
-        own = defaultdict(list)
-        for s, places in enumerate(self.places):
-            for i, pos in places:
-                own[i].append((int(counts[s]), pos, s))
-        for seeds in own.values():
-            for _, _, s in sorted(seeds)[: -(-len(seeds) // 2)]:
-                self.active[s] = True
-        self.index()
-
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     """(best local alignment as a share of a full match, where it ends in the passage)."""
@@ -140,7 +122,7 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * n), end
 
 
-def align_text(words: np.ndarray, positions: np.ndarray, seeds: np.ndarray, items: Items) -> dict[int, tuple[float, int, int]]:
+def align_text(words: np.ndarray, positions: np.ndarray, seeds: np.ndarray, items: Items, threshold: float = 0.0) -> dict[int, tuple[float, int, int]]:
     """item -> (score, passage start, alignment end) of the best passage of one text, in words."""
     diagonals = defaultdict(list)
     for p, s in zip(positions.tolist(), seeds.tolist()):
@@ -160,7 +142,8 @@ def align_text(words: np.ndarray, positions: np.ndarray, seeds: np.ndarray, item
             at = found[k - 1]
             if at >= 0 and np.array_equal(words[at : at + len(item)], item):
                 best = max(best, (1.0, at, at + len(item)))
-            elif best[0] < 1:
+            # Each point of the score needs a word of the item.
+            elif best[0] < 1 and np.isin(item, words[lo:hi]).sum() / len(item) >= threshold:
                 score, end = smith_waterman(item, words[lo:hi])
                 best = max(best, (score, lo, lo + end))
         out[i] = best
@@ -185,24 +168,9 @@ def _rows(items: Items, column: pa.Array):
             yield i + int(r), words[at[r] : at[r + 1]], positions[a:b] - at[r], seeds[a:b]
 
 
-def _count(sent):
-    def run(batches):
-        items = sent.value
-        counts = np.zeros(len(items.hashes), np.int64)
-        n = 0
-        for batch in batches:
-            n += batch.num_rows
-            for _, _, _, seeds in _rows(items, batch.column(0)):
-                counts[np.unique(seeds)] += 1
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen]), pa.array(np.r_[n, counts[seen]])], names=["seed", "n"])
-
-    return run
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, seed_words: int = SEED_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Add ``leaks``: array<struct(item_id, score, start_word, end_word)> of the
-    items whose alignment scores at least ``threshold``, best first; [] for clean rows."""
+    items with a seed in the text whose alignment scores at least ``threshold``, best first; [] for clean rows."""
     spark = docs.sparkSession
     bench = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -214,14 +182,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
         own = Items([r["i"] for r in rows], [r["t"] for r in rows], seed_words)
         if not own.words:
             continue
-        counted = docs.select(text).mapInArrow(_count(spark.sparkContext.broadcast(own)), "seed long, n long").groupBy("seed").agg(F.sum("n")).collect()
-        counts, n_docs = np.zeros(len(own.hashes), np.int64), 0
-        for seed, n in counted:  # at most the seeds of one slice
-            if seed < 0:
-                n_docs = n
-            else:
-                counts[seed] = n
-        own.keep_rare(counts, n_docs)
         out = out.mapInArrow(_align(spark.sparkContext.broadcast(own), out.columns.index(text), out.columns.index("leaks"), threshold), out.schema)
     return out
 
@@ -232,7 +192,7 @@ def _align(sent, text_at: int, leaks_at: int, threshold: float):
         for batch in batches:
             found = {}
             for row, words, positions, seeds in _rows(items, batch.column(text_at)):
-                leaks = [(items.ids[i], *best) for i, best in align_text(words, positions, seeds, items).items() if best[0] >= threshold]
+                leaks = [(items.ids[i], *best) for i, best in align_text(words, positions, seeds, items, threshold).items() if best[0] >= threshold]
                 if leaks:
                     found[row] = leaks
             column = batch.column(leaks_at)

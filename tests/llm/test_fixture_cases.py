@@ -301,6 +301,38 @@ def test_leaks(docs, none, spark):
     assert decontam.find_leaks(docs, items.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
+def leaks_brute(rows, items, threshold=0.5):
+    """(doc_id, item_id) -> score by Smith-Waterman over whole texts that share a seed; words are small letters without punctuation."""
+    import numpy as np
+
+    number = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in t.split()])
+    seeds = lambda t, k: {tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)}
+    out = {}
+    for d, t in rows:
+        for i, item in items:
+            score, _ = decontam.smith_waterman(coded(item), coded(t))
+            size = min(4, len(item.split()))
+            if score >= threshold and seeds(item, size) & seeds(t, size):
+                out[d, i] = score
+    return out
+
+
+def got_leaks(spark, rows, items, **kw):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = decontam.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), **kw).collect()
+    return {(r["doc_id"], x["item_id"]): x["score"] for r in found for x in r["leaks"]}
+
+
+def test_leaks_of_an_item_in_many_documents(spark):
+    item = [f"i{k}" for k in range(40)]
+    edited = ["other" if k in (3, 7, 11, 15, 19) else w for k, w in enumerate(item)]
+    rows = [(d, " ".join([f"d{d}", *item, "end"])) for d in range(60)] + [(100, " ".join(edited)), (101, " ".join(["a"] * 28 + item[28:]))]
+    items = [(1, " ".join(item))]
+    got = got_leaks(spark, rows, items)
+    assert got == leaks_brute(rows, items) and got[100, 1] == 0.8125 and (101, 1) not in got
+
+
 # secrets
 
 
