@@ -2,12 +2,14 @@
 
 Texts and items are compared as lower-case words without punctuation. Every
 ``seed_words``-gram of an item is a seed (the whole item, if it is shorter).
-One pass joins documents to items on all seeds, common ones too: hits on near
-diagonals make a passage, and the item is aligned with each passage by
-Smith-Waterman over words. The score is the best alignment's share of a full
-match (1: verbatim). A passage that holds too few of the item's words to reach
-the threshold is left out before; nothing else is. A document that shares no
-seed with an item is not compared with it.
+One pass joins documents to items on all seeds, common ones too. An alignment
+through a seed that reaches the threshold has a bounded number of gap words, so
+the words it may lie in are known (``reach``); hits whose reaches meet make a
+passage, and the item is aligned with each passage by Smith-Waterman over words.
+The score is the best alignment's share of a full match (1: verbatim). A passage
+that holds too few of the item's words to reach the threshold is left out
+before; nothing else is. A document that shares no seed with an item is not
+compared with it.
 
 The pass is row-wise and shuffles nothing. The items are taken in slices of at
 most ``slice_bytes`` of text, each a step and a broadcast of its own, so no
@@ -33,7 +35,6 @@ from quern.llm.wordhash import chunked, window_hashes, word_hashes
 SEED_WORDS = 4
 THRESHOLD = 0.5
 SLICE_BYTES = 4 << 20
-SLACK = 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 _U = np.uint64
 
@@ -122,8 +123,13 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * n), end
 
 
+def reach(n: int, threshold: float) -> int:
+    """Gap words that an alignment of ``n`` words can hold and still reach the threshold."""
+    return max(0, int(MATCH * n * (1 - threshold) / -GAP + 1e-6))
+
+
 def align_text(words: np.ndarray, positions: np.ndarray, seeds: np.ndarray, items: Items, threshold: float = 0.0) -> dict[int, tuple[float, int, int]]:
-    """item -> (score, passage start, alignment end) of the best passage of one text, in words."""
+    """item -> (score, alignment start, alignment end) of the best passage of one text, in words."""
     diagonals = defaultdict(list)
     for p, s in zip(positions.tolist(), seeds.tolist()):
         for i, pos in items.places[s]:
@@ -131,21 +137,25 @@ def align_text(words: np.ndarray, positions: np.ndarray, seeds: np.ndarray, item
     out = {}
     for i, found in diagonals.items():
         item = items.words[i]
+        n, beyond = len(item), reach(len(item), threshold)
         found = sorted(set(found))
         best = (0.0, 0, 0)
         start = 0
         for k in range(1, len(found) + 1):
-            if k < len(found) and found[k] - found[k - 1] <= SLACK:
+            if k < len(found) and found[k] - found[k - 1] <= n + 2 * beyond:
                 continue
-            lo, hi = max(0, found[start] - SLACK), min(len(words), found[k - 1] + len(item) + SLACK)
+            near = found[start:k]
+            lo, hi = max(0, near[0] - beyond), min(len(words), near[-1] + n + beyond)
             start = k
-            at = found[k - 1]
-            if at >= 0 and np.array_equal(words[at : at + len(item)], item):
-                best = max(best, (1.0, at, at + len(item)))
+            at = next((d for d in reversed(near) if d >= 0 and np.array_equal(words[d : d + n], item)), None)
+            if at is not None:
+                best = max(best, (1.0, at, at + n))
             # Each point of the score needs a word of the item.
-            elif best[0] < 1 and np.isin(item, words[lo:hi]).sum() / len(item) >= threshold:
+            elif best[0] < 1 and np.isin(item, words[lo:hi]).sum() / n >= threshold:
                 score, end = smith_waterman(item, words[lo:hi])
-                best = max(best, (score, lo, lo + end))
+                if score >= threshold and score > best[0]:
+                    _, back = smith_waterman(item[::-1], words[lo : lo + end][::-1])
+                    best = (score, lo + end - back, lo + end)
         out[i] = best
     return out
 
@@ -170,7 +180,7 @@ def _rows(items: Items, column: pa.Array):
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, seed_words: int = SEED_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Add ``leaks``: array<struct(item_id, score, start_word, end_word)> of the
-    items with a seed in the text whose alignment scores at least ``threshold``, best first; [] for clean rows."""
+    items with an alignment through a seed that scores at least ``threshold``, best first; [] for clean rows."""
     spark = docs.sparkSession
     bench = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0

@@ -333,6 +333,33 @@ def test_leaks_of_an_item_in_many_documents(spark):
     assert got == leaks_brute(rows, items) and got[100, 1] == 0.8125 and (101, 1) not in got
 
 
+def test_leaks_with_insertions_equal_brute_force(spark):
+    import random
+
+    item = [f"i{k}" for k in range(60)]
+    gap = lambda c, n=21: [f"{c}{k}" for k in range(n)]
+    rows = [(1, " ".join([*item[:20], *gap("a"), *item[20:40], *gap("b"), *item[40:]]))]
+    rows.append((2, " ".join(gap("y", 90) + rows[0][1].split() + gap("z", 90))))
+    items = [(1, " ".join(item))]
+    rng = random.Random(3)
+    for d in range(3, 40):
+        n = rng.randint(4, 70)
+        text, k = [f"d{d}x{j}" for j in range(n)], 0
+        items.append((d, " ".join(text)))
+        copy = gap("p", rng.randint(0, 50))
+        while k < n:
+            step = rng.randint(4, 25)
+            copy += text[k : k + step] + gap("q", rng.randint(0, 30))
+            k += step + rng.randint(0, 3)
+        rows.append((d, " ".join(copy)))
+    want = leaks_brute(rows, items)
+    assert 10 < len(want) < len(items) and want[1, 1] == want[2, 1] == 0.65
+    assert got_leaks(spark, rows, items) == want
+    found = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    span = {(r["doc_id"], x["item_id"]): (x["start_word"], x["end_word"]) for r in found.collect() for x in r["leaks"]}
+    assert span[1, 1] == (0, 102) and span[2, 1] == (90, 192)
+
+
 # secrets
 
 
