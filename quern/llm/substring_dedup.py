@@ -111,7 +111,7 @@ def part_of(docs: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _part(doc_id: str, parts: int):
-    return F.coalesce(F.pmod(F.floor(F.col(doc_id) / F.lit(64)), F.lit(parts)), F.lit(0)).cast("int")
+    return F.coalesce(F.pmod(F.shiftright(F.col(doc_id), 6), F.lit(parts)), F.lit(0)).cast("int")
 
 
 def anchors(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

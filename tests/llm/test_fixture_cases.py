@@ -454,6 +454,12 @@ def test_repeats_equal_brute_force(spark):
     assert got_repeats(df) == repeats_brute(rows)
 
 
+def test_repeats_of_large_ids(spark):
+    rows = [(s * ((1 << 62) + 64 * k - 1), " ".join(f"w{k % 9}x{j}" for j in range(20))) for k in range(60) for s in (1, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got_repeats(df) == repeats_brute(rows)
+
+
 def test_levels_double_until_none_survive(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(base)), (2, " ".join(base[:30])), (3, " ".join(base[:12])), (4, "x")]
