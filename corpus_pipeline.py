@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialise, table
 from quern.llm.decontam import find_leaks
-from quern.llm.jaccard_join import jaccard_groups
+from quern.llm.jaccard_join import jaccard_classes, with_class_keys
 from quern.llm.packing import pack_documents
 from quern.llm.secret_scan import redact_secrets
 from quern.llm.toxicity import fit_from, score_toxicity, training_labels
@@ -29,13 +29,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a 5-word shingle Jaccard similarity of
-    0.75 or more, keep the one with the smallest id. Rows with a null id stay."""
-    groups = jaccard_groups(docs)
-    extra = materialise(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__extra")).distinct())
-    if extra.count() <= BROADCAST_ROWS:
-        extra = F.broadcast(extra)
-    return docs.join(extra, docs["doc_id"] == extra["__extra"], "left_anti")
+    """Of each group of rows linked by a 5-word shingle Jaccard similarity of 0.75 or
+    more, keep the one with the smallest id, then the smallest text; ids before null.
+    Rows of one id and text are one document and stay or go together; of equal rows
+    without an id one stays. Rows without words are in no group and stay."""
+    members, classes = jaccard_classes(docs)
+    rows = members.join(classes, "key").select("doc_id", F.coalesce("label", "key").alias("__label"), F.col("component_id").alias("__least"))
+    # Only groups of several rows; __firsts counts the rows that have the smallest id.
+    groups = rows.groupBy("__label", "__least").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").eqNullSafe(F.col("__least"))).alias("__firsts")).filter("n > 1").drop("n")
+    groups = materialise(classes.select(F.col("key").alias("__of"), F.coalesce("label", "key").alias("__label")).join(groups, "__label"))
+    several = not groups.filter("__firsts > 1").isEmpty()
+    if groups.count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
+    keyed = with_class_keys(docs, "__key")
+    placed = keyed.join(groups, keyed["__key"] == groups["__of"], "left")
+    first = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__least"))
+    kept = placed.filter(F.col("__of").isNull() | (first & (F.col("__firsts") == 1))).select(*docs.columns)
+    if not several:
+        return kept
+    # Few rows: repeated ids, or groups without any id.
+    tied = materialise(placed.filter(first & (F.col("__firsts") > 1)).withColumn("__row", F.monotonically_increasing_id()).select(*docs.columns, "__label", "__row"))
+    best = tied.groupBy("__label").agg(F.min(F.struct("text", "__row")).alias("__best"))
+    same = (F.col("text") == F.col("__best.text")) & (F.col("doc_id").isNotNull() | (F.col("__row") == F.col("__best.__row")))
+    return kept.union(tied.join(best, "__label").filter(same).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

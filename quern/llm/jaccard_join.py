@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.llm.common import buckets_for, input_bytes, materialise, table
 from quern.llm.components import components
@@ -298,9 +299,9 @@ def cluster_links(classes: DataFrame, percent: int, block_rows: int) -> DataFram
     return dealt.groupBy("label", "i", "j").applyInArrow(_multiply_clusters(percent), "a long, b long")
 
 
-def jaccard_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT, per_bucket: float = 8e6, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row; ``component_id`` is the
-    smallest id reachable over links of Jaccard similarity >= percent / 100."""
+def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT, per_bucket: float = 8e6, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, size) for every row, and (key, label, component_id) for every
+    class that is not empty: one key of its component, null where it is alone, and the smallest id there."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     buckets = max(buckets_for(input_bytes(df), per_bucket), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -316,12 +317,38 @@ def jaccard_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     firsts = materialise(members.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("first")))
     linked = groups.select(F.col("node").alias("key"), "label")
     least = materialise(linked.join(firsts, "key").groupBy("label").agg(F.min("first").alias("least")))
-    linked = linked.join(least, "label").select("key", "least")
-    found = materialise(firsts.join(linked, "key", "left").select("key", F.coalesce("least", "first").alias("component_id")))
+    linked = linked.join(least, "label").select("key", "label", "least")
+    return members, materialise(firsts.join(linked, "key", "left").select("key", "label", F.coalesce("least", "first").alias("component_id")))
+
+
+def jaccard_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row; ``component_id`` is the
+    smallest id reachable over links of Jaccard similarity >= percent / 100.
+    ``options`` are those of ``jaccard_classes``."""
+    members, found = jaccard_classes(df, doc_id, text, **options)
+    found = found.select("key", "component_id")
     full = members.filter("size > 0").join(found, "key", "left").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return full.union(members.filter("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id")))
 
 
+def with_class_keys(df: DataFrame, name: str, text: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
+    """Add the key of each row's class as ``name``; null for rows without words."""
+    text_at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            parts = [np.zeros(0, np.int64)]
+            empty = [np.zeros(0, bool)]
+            for _, data, offsets in chunked(batch.column(text_at)):
+                hashes, at = shingle_sets(data, offsets, k)
+                parts.append(set_keys(hashes, at).view(np.int64))
+                empty.append(np.diff(at) == 0)
+            keys = pa.array(np.concatenate(parts), pa.int64(), mask=np.concatenate(empty))
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return jaccard_groups(table(spark, sf_dir, "documents"))
 

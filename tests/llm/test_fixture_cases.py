@@ -521,6 +521,21 @@ def test_stages(spark, docs, none, tmp_path):
     assert kept[9]["text"] == '[secret]" ünï — [secret] [secret]' and kept[9]["n_chars"] == len(kept[9]["text"]) and kept[8]["n_chars"] == 1
 
 
+def test_near_duplicates_by_row(spark):
+    text = lambda c, edit=None: " ".join(edit if edit and k == 29 else f"{c}{k}" for k in range(30))
+    rows = [
+        (1, text("a")), (2, text("a")), (2, text("b")), (None, text("a", "edit")), (3, text("c", "z")), (3, text("c", "y")),
+        (None, text("d")), (None, text("d")), (None, text("d", "x")), (4, text("e")), (4, text("f")), (5, text("f")), (None, ""), (None, ""), (6, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for bound in (corpus_pipeline.BROADCAST_ROWS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(corpus_pipeline, "BROADCAST_ROWS", bound)
+            kept = sorted((str(r["doc_id"]), r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+        want = [(1, text("a")), (2, text("b")), (3, text("c", "y")), (4, text("e")), (4, text("f")), (None, text("d")), (None, ""), (None, ""), (6, "")]
+        assert kept == sorted((str(d), t) for d, t in want)
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(0,), (12,), (None,)], "d long").select(id_fold("d", 3).alias("f"), "d")
     for r in df.collect():
