@@ -41,7 +41,7 @@ PERCENT = 75
 FLUSH = 2_000_000
 BLOCK_ROWS = 4096
 _U = np.uint64
-_LOW = _U((1 << 40) - 1)
+_LOW = _U((1 << 32) - 1)
 
 PACKED = "bucket int, key binary, held binary, low binary, high binary, member_id binary, member_key binary, member_size binary"
 ROWS = "part int, key binary, held binary, column binary, rows binary, member_id binary, member_key binary, member_size binary"
@@ -87,6 +87,16 @@ def _bounds(sorted_values: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(sorted_values, np.arange(n + 1))
 
 
+def _block_start(bucket: int, buckets: int) -> int:
+    """The smallest upper half of a hash that ``bucket_of`` puts into a block."""
+    return -(-(bucket << 32) // buckets)
+
+
+def _high_bytes(buckets: int) -> int:
+    """Bytes for the upper half of a hash, counted from the block's start."""
+    return 4 if buckets < 257 else 3
+
+
 def _pack_columns(buckets: int, k: int):
     """Texts to packed shingles by block of columns; each document's (id, key, size) goes along with one block."""
 
@@ -122,10 +132,11 @@ def _pack_columns(buckets: int, k: int):
                     continue
                 starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.zeros(0, int)
                 runs = np.diff(np.r_[starts, len(o)]).astype(np.uint32)
-                low = h & _LOW
+                # With the block's number, all 64 bits.
+                high = ((h >> _U(32)) - _U(_block_start(b, buckets))).astype("<u4").view(np.uint8).reshape(-1, 4)
                 rows.append((
                     b, keys[o[starts]].tobytes(), runs.tobytes(),
-                    (low & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (low >> _U(32)).astype(np.uint8).tobytes(),
+                    (h & _LOW).astype(np.uint32).tobytes(), high[:, : _high_bytes(buckets)].tobytes(),
                     ids[m].tobytes(), keys[m].tobytes(), np.where(null[m], -1 - sizes[m], sizes[m]).tobytes(),
                 ))
             held.clear()
@@ -146,23 +157,26 @@ def _pack_columns(buckets: int, k: int):
 
 
 def _count_columns(parts: int):
-    """One block of columns: keep those with two rows or more, with their row counts, dealt by row."""
+    """One block of columns, of as many as ``parts``: keep those with two rows or more, with their row counts, dealt by row."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         keys, runs = _joined(group.column("key"), np.uint64), _joined(group.column("held"), np.uint32)
-        low = _joined(group.column("low"), np.uint32).astype(np.uint64) | _joined(group.column("high"), np.uint8).astype(np.uint64) << _U(32)
+        hashes = _joined(group.column("low"), np.uint32).astype(np.uint64)
+        high = np.zeros((len(hashes), 4), np.uint8)
+        high[:, : _high_bytes(parts)] = _joined(group.column("high"), np.uint8).reshape(len(hashes), _high_bytes(parts))
+        hashes |= high.view("<u4").ravel().astype(np.uint64) + _U(_block_start(bucket, parts)) << _U(32)
         row = np.repeat(keys, runs)
-        order = np.lexsort((row, low))
-        low, row = low[order], row[order]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
-        low, row = low[new], row[new]
-        starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, int)
-        counts = np.diff(np.r_[starts, len(low)])
+        order = np.lexsort((row, hashes))
+        hashes, row = hashes[order], row[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+        hashes, row = hashes[new], row[new]
+        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, int)
+        counts = np.diff(np.r_[starts, len(hashes)])
         each = np.repeat(counts, counts)
         keep = each > 1
-        column, row, each = mix(low[keep] | _U(bucket) << _U(40)), row[keep], each[keep].astype(np.uint32)
+        column, row, each = mix(hashes[keep]), row[keep], each[keep].astype(np.uint32)
         part = bucket_of(row, parts)
         order = np.lexsort((row, part))
         column, row, each, part = column[order], row[order], each[order], part[order]

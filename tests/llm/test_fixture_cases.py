@@ -260,6 +260,30 @@ def test_jaccard_equals_brute_force(spark, block_rows):
     assert got_groups(df, block_rows=block_rows) == jaccard_brute(rows)
 
 
+@pytest.mark.parametrize("buckets", [1, 4, 256, 257, 3750])
+def test_columns_keep_all_bits_of_the_hashes(monkeypatch, buckets):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    # Texts 0 and 1 differ in one bit of the upper half; 1 and 2 are equal there. The largest hash is in all.
+    top = (1 << 64) - 1
+    sets = [[5, top], [5 | 1 << 45, 7, top], [5 | 1 << 45, 9, top]]
+    hashes, at = np.array(sum(sets, []), np.uint64), np.cumsum([0] + [len(s) for s in sets])
+    monkeypatch.setattr(jaccard_join, "shingle_sets", lambda data, offsets, k: (hashes, at))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a", "b", "c"])], names=["doc_id", "text"])
+    packed = pa.Table.from_batches(list(jaccard_join._pack_columns(buckets, 5)([batch])))
+    got = {}
+    for b in range(buckets):
+        block = packed.filter(pa.compute.equal(packed["bucket"], b))
+        if block.num_rows:
+            out = jaccard_join._count_columns(buckets)(block)
+            for c, n in zip(jaccard_join._joined(out["column"], np.uint64), jaccard_join._joined(out["rows"], np.uint32)):
+                got.setdefault(int(c), []).append(int(n))
+    mixed = jaccard_join.mix(np.array([5 | 1 << 45, top], np.uint64)).tolist()
+    assert got == {mixed[0]: [2, 2], mixed[1]: [3, 3, 3]}
+
+
 # decontamination
 
 
