@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words everywhere in this subpackage: runs of anything but space, tab, LF, VT, FF, CR.
@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where the session names none (tests, a laptop) a local one is set.
+    Where the session names none, a local folder is made, if all tasks run on this machine.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not (context.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.environ.get("QUERN_LOCAL_CHECKPOINTS") or tempfile.mkdtemp(prefix="quern-")
         os.environ["QUERN_LOCAL_CHECKPOINTS"] = base
         base = f"file://{base}"
@@ -34,16 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and
-    a lost executor costs only the task it was running."""
+    a lost executor costs only the task it was running. The folder goes when the
+    session's driver ends (see ``drop_at_exit``)."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(drop_at_exit(spark, path))
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialise``, and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> str:
+    """Have a folder deleted when the driver's JVM ends: results are read lazily,
+    so nothing written for one may go before."""
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -241,7 +241,7 @@ def test_jaccard_cases(docs, none):
     assert jaccard_join.jaccard_groups(none).count() == 0
 
 
-@pytest.mark.parametrize("block_rows", [4096, 7])
+@pytest.mark.parametrize("block_rows", [4096, 2])
 def test_jaccard_equals_brute_force(spark, block_rows):
     import random
 
@@ -284,6 +284,20 @@ def test_columns_keep_all_bits_of_the_hashes(monkeypatch, buckets):
     assert got == {mixed[0]: [2, 2], mixed[1]: [3, 3, 3]}
 
 
+@pytest.mark.parametrize("pieces", ["path", "stars"])
+def test_components_in_few_rounds(spark, monkeypatch, pieces):
+    from quern.llm import components as C
+
+    edges = [(i, i + 1) for i in range(400)] if pieces == "path" else [(1000 * (i % 3), 1000 * (i % 3) + i) for i in range(1, 400)]
+    written = []
+    monkeypatch.setattr(C, "materialise_counted", lambda df, inner=C.materialise_counted: written.append(1) or inner(df))
+    found = C.components(spark.createDataFrame(edges + [(7, 7)], "a long, b long")).collect()
+    assert len(found) == len({x for e in edges for x in e if e[0] != e[1]})
+    label = {r["node"]: r["label"] for r in found}
+    assert all(label[a] == label[b] for a, b in edges) and len(set(label.values())) == (1 if pieces == "path" else 3)
+    assert len(written) <= (24 if pieces == "path" else 4)
+
+
 # decontamination
 
 
@@ -538,13 +552,30 @@ def test_stages(spark, docs, none, tmp_path):
         assert stage(spark, extra, str(tmp_path)).columns == extra.columns
         assert stage(spark, none, str(tmp_path)).count() == 0
     kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "1", "2", "3", "4", "5", "None", "None", "8", "9"])
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "2", "3", "4", "5", "None", "None", "8", "9"])
     kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(["2", "3", "4", "5", "6", "None", "None", "8", "9"])
     kept = {r["doc_id"]: r for r in corpus_pipeline.secrets(spark, docs, str(tmp_path)).collect()}
     assert kept[9]["text"] == '[secret]" ünï — [secret] [secret]' and kept[9]["n_chars"] == len(kept[9]["text"]) and kept[8]["n_chars"] == 1
 
 
+def test_sampled_columns_are_enough():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a = rng.sample(range(10_000), rng.randint(1, 60))
+        b = sorted([x for x in a if rng.random() > 0.15] + rng.sample(range(10_000, 20_000), rng.randint(0, 4)))
+        a.sort()
+        if not b or 100 * len(set(a) & set(b)) < 75 * len(set(a) | set(b)):
+            continue
+        first = [set(x[: int(jaccard_join.sampled(np.array(len(x)), 75))]) for x in (a, b)]
+        for x in (a, b):
+            assert len(first[0] & first[1]) >= jaccard_join.least_shared(np.array(len(x)), 75)
+
+
 def test_near_duplicates_by_row(spark):
     text = lambda c, edit=None: " ".join(edit if edit and k == 29 else f"{c}{k}" for k in range(30))
     rows = [
@@ -560,6 +591,40 @@ def test_near_duplicates_by_row(spark):
         assert kept == sorted((str(d), t) for d, t in want)
 
 
+def test_near_duplicates_keep_what_is_unlike(spark):
+    w, x = (" ".join(f"{c}{k}" for k in range(30)) for c in "wx")
+    df = spark.createDataFrame([(1, w), (5, w), (5, x), (None, w), (1, w)], "doc_id long, text string").repartition(2)
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, w), (5, x)]
+
+
+def test_run_from_end_to_end(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    text = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    secret = 'token = "abcdef123456"'
+    rows = [
+        (1, text("a")), (1, text("a")), (2, text("a").replace("a3 ", "z ")), (2, text("b")), (None, text("a")), (None, text("c")), (None, text("c")),
+        (3, text("d") + " " + text("item", 20)), (4, f"{text('e')} {secret}"), (5, None), (6, ""), (6, ""), (7, text("f", 5000)),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).withColumn("score", F.lit("clash"))
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, text("item", 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    kept = [(1, text("a")), (2, text("b")), (None, text("c")), (4, f'{text("e")} [secret]"'), (5, ""), (6, ""), (6, ""), (7, text("f", 5000))]
+    want = {}
+    for d, t in kept:
+        key = (d, len(tok.encode(t, add_special_tokens=False).ids) + 1)
+        want[key] = want.get(key, 0) + key[1]
+    got, offsets = {}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("sequence_id", "offset").collect():
+        got[r["doc_id"], r["doc_tokens"]] = got.get((r["doc_id"], r["doc_tokens"]), 0) + r["length"]
+        assert r["offset"] == offsets.get(r["sequence_id"], 0)
+        offsets[r["sequence_id"]] = r["offset"] + r["length"]
+    assert got == want and max(offsets.values()) <= 2048
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(0,), (12,), (None,)], "d long").select(id_fold("d", 3).alias("f"), "d")
     for r in df.collect():
