@@ -30,9 +30,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of rows linked by a 5-word shingle Jaccard similarity of 0.75 or
-    more, keep the one with the smallest id, then the smallest text; ids before null.
-    Rows of one id and text are one document and stay or go together; of equal rows
-    without an id one stays. Rows without words are in no group and stay."""
+    more, one row stays: that of the smallest id (ids before null), then of the smallest
+    text, then any of the equal ones. Rows are told apart by more than their id, so a
+    row whose id is also in another group is kept or dropped with its own group.
+    Rows without words are in no group and stay."""
     members, classes = jaccard_classes(docs)
     rows = members.join(classes, "key").select("doc_id", F.coalesce("label", "key").alias("__label"), F.col("component_id").alias("__least"))
     # Only groups of several rows; __firsts counts the rows that have the smallest id.
@@ -50,8 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Few rows: repeated ids, or groups without any id.
     tied = materialise(placed.filter(first & (F.col("__firsts") > 1)).withColumn("__row", F.monotonically_increasing_id()).select(*docs.columns, "__label", "__row"))
     best = tied.groupBy("__label").agg(F.min(F.struct("text", "__row")).alias("__best"))
-    same = (F.col("text") == F.col("__best.text")) & (F.col("doc_id").isNotNull() | (F.col("__row") == F.col("__best.__row")))
-    return kept.union(tied.join(best, "__label").filter(same).select(*docs.columns))
+    return kept.union(tied.join(best, "__label").filter(F.col("__row") == F.col("__best.__row")).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
