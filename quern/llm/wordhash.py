@@ -88,6 +88,18 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def running_sums(words: np.ndarray) -> np.ndarray:
+    """Sums from which ``run_hashes`` has the hash of any run."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(len(words) + 1)[0][: len(words)], out=out[1:])
+    return out
+
+
+def run_hashes(sums: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the run of ``size`` entries at each of ``start``."""
+    return mix((sums[start + size] - sums[start]) * _powers(len(sums))[1][start] + _U(size))
+
+
 def inside_texts(word_offsets: np.ndarray, size: int, n_windows: int) -> np.ndarray:
     """Which window starts have all their words in one text."""
     ok = np.zeros(n_windows + size, np.int8)

@@ -448,26 +448,34 @@ def test_trigram_queries():
 
 
 def repeats_brute(rows, n=13):
-    first = {}
-    for d, t, *_ in rows:
-        w = words(t)
-        for i in range(len(w) - n + 1):
-            if d is not None:
-                k = tuple(w[i : i + n])
-                first[k] = min(first.get(k, d), d)
+    texts = [(d, words(t)) for d, t, *_ in rows]
+    # A window is named by its words; one of twice the length by the names of its halves.
+    names = {}
+    now = [[names.setdefault(tuple(w[i : i + n]), len(names)) for i in range(len(w) - n + 1)] for _, w in texts]
+    longest, size, first = {}, n, None
+    while any(now):
+        own = {}
+        for (d, _), level in zip(texts, now):
+            for k in level if d is not None else ():
+                own[k] = min(own.get(k, d), d)
+        first = first or (own, now)
+        longest |= {d: size for (d, _), level in zip(texts, now) if d is not None and any(own[k] < d for k in level)}
+        names = {}
+        now = [[names.setdefault((level[i], level[i + size]), len(names)) for i in range(len(level) - size)] for level in now]
+        size *= 2
     out = []
-    for d, t, *_ in rows:
-        w, gone = words(t), set()
-        for i in range(len(w) - n + 1):
-            if d is not None and first[tuple(w[i : i + n])] < d:
+    for k, (d, w) in enumerate(texts):
+        gone = set()
+        for i, name in enumerate(first[1][k]):
+            if d is not None and first[0][name] < d:
                 gone |= set(range(i, i + n))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((repr(d), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        out.append((repr(d), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), longest.get(d, 0)))
     return sorted(out)
 
 
 def got_repeats(df):
-    return sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df, digest=True).collect())
+    return sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"], r["longest_repeat"]) for r in substring_dedup.remove_repeats(df, digest=True).collect())
 
 
 def test_repeats_cases(docs, none):
@@ -499,11 +507,17 @@ def test_repeats_of_large_ids(spark):
 
 
 def test_levels_double_until_none_survive(spark):
-    base = [f"w{i}" for i in range(60)]
-    rows = [(1, " ".join(base)), (2, " ".join(base[:30])), (3, " ".join(base[:12])), (4, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], r["level_words"]): r["windows"] for r in substring_dedup.repeated_levels(df).collect()}
-    assert got == {(1, 13): 18, (2, 13): 18, (1, 26): 5, (2, 26): 5}
+    base = [f"w{i}" for i in range(240)]
+    other = [f"o{i}" for i in range(240)]
+    rows = [
+        (1, " ".join(base)), (2, " ".join(base[:30])), (3, " ".join(base[:12])), (4, "x"), (5, " ".join(other[:20] + base[100:170] + other[20:])),
+        # The longer repeat begins inside one that another document shares.
+        (6, " ".join(other[:60])), (7, " ".join(base[:5] + other[30:100])), (8, " ".join(other[40:140])), (9, " ".join(base)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = got_repeats(df)
+    assert got == repeats_brute(rows)
+    assert {d: n for d, *_, n in got} == {"1": 0, "2": 26, "3": 0, "4": 0, "5": 52, "6": 26, "7": 52, "8": 52, "9": 208}
 
 
 # url filter
@@ -604,7 +618,7 @@ def test_run_from_end_to_end(spark, tmp_path):
     text = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
     secret = 'token = "abcdef123456"'
     rows = [
-        (1, text("a")), (1, text("a")), (2, text("a").replace("a3 ", "z ")), (2, text("b")), (None, text("a")), (None, text("c")), (None, text("c")),
+        (1, text("a")), (1, text("a")), (2, text("a").replace("a29", "z")), (2, text("b")), (None, text("a")), (None, text("c")), (None, text("c")),
         (3, text("d") + " " + text("item", 20)), (4, f"{text('e')} {secret}"), (5, None), (6, ""), (6, ""), (7, text("f", 5000)),
     ]
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).withColumn("score", F.lit("clash"))
