@@ -5,33 +5,40 @@ and metadata name the response in ``WARC-Concurrent-To``; assembly joins the
 three over it to one nested row per capture.
 
 Archives are written by Spark's text writer with a line end that completes each
-record, so they go to any file system Spark knows, with its commit protocol;
-they are gzip files of at most ``captures_per_file`` captures, read back whole
-and parsed by Content-Length.
+record, so they go to any file system Spark knows, with its commit protocol.
+Pages are written by size class, each class in a folder of its own, with as many
+captures in a gzip file as keep it under ``file_bytes`` before compression; only a
+page larger than that has a bigger file, to itself. Files are inflated as a stream
+and parsed by Content-Length, so a reader holds a compressed file and a record.
 
 Null html is an empty payload. Of records with equal payloads of at least
 ``least_bytes`` bytes the one with the smallest page id is the response (rows
 that share that id all are), others revisit it; rows with a null id revisit
 unless all are null. Line breaks in urls are percent-encoded in the archive.
-Repeated rows are captures of their own.
+Repeated rows are captures of their own. Payloads are written whole; a page and its
+headers must fit one string value of Spark (under 1 GiB). Page ids must be castable
+to bigint. Only id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StringType
-
-from quern.llm.common import materialise, shared_dir, table, text_or_empty
+from quern.llm.common import drop_at_exit, materialise, shared_dir, table, text_or_empty
 
 CAPTURES_PER_FILE = 8192
+FILE_BYTES = 256 << 20
+#: The first size class holds payloads of at most this many bytes, each next one eight times as many.
+LEAST_CLASS, CLASSES = 1 << 16, 6
+#: Room for the headers of a capture, and bytes of records that the reader hands on at once.
+HEADERS, BATCH_BYTES = 4096, 16 << 20
 BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -42,9 +49,18 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-@F.pandas_udf(StringType())
-def _digest(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: digest_of(t.encode("utf-8", "surrogatepass")))
+def digest_column(payload: Column) -> Column:
+    """``digest_of`` from built-in functions: five hex digits are four base32 ones."""
+    hexed = F.sha1(payload.cast("binary"))
+    groups = [F.lpad(F.conv(F.substring(hexed, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def _size_class(size: Column) -> Column:
+    out = F.lit(CLASSES)
+    for c in reversed(range(CLASSES)):
+        out = F.when(size <= LEAST_CLASS << 3 * c, F.lit(c)).otherwise(out)
+    return out
 
 
 def _record(kind: str, fields: list[tuple[str, Column | str]], body: Column) -> Column:
@@ -56,10 +72,10 @@ def _record(kind: str, fields: list[tuple[str, Column | str]], body: Column) ->
     return F.concat(*head, F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r"))
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, captures_per_file: int = CAPTURES_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, captures_per_file: int = CAPTURES_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     payload = text_or_empty(html)
     base = pages.select(F.col(page_id).cast("bigint").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    base = base.withColumn("digest", _digest("payload"))
+    base = base.withColumn("digest", digest_column(F.col("payload")))
     base = base.withColumn("mark", F.substring(F.md5(F.concat_ws("|", F.coalesce("url", F.lit("")), "digest").cast("binary")), 1, 16))
     size = F.octet_length("payload")
     # Which payloads occur more than once: ids only, partly summed before the shuffle.
@@ -99,32 +115,28 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("payload-length: "), size.cast("string"), F.lit("\r\n")),
     )
     end = F.lit("\n")
-    captures = rows.select(F.concat(request, end, F.when(revisit, again).otherwise(response), end, metadata).alias("value"))
-    captures.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", captures_per_file).text(path)
+    captures = rows.select(F.concat(request, end, F.when(revisit, again).otherwise(response), end, metadata).alias("value"), _size_class(size).alias("class"))
+    there = [r["class"] for r in base.select(_size_class(size).alias("class")).distinct().collect()]  # at most CLASSES + 1
+    for c in sorted(there) or [0]:
+        own = 1 if c == CLASSES else min(captures_per_file, max(1, file_bytes // ((LEAST_CLASS << 3 * c) + HEADERS)))
+        chosen = captures.filter(F.col("class") == c).select("value")
+        chosen.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", own).text(f"{path}/size_{c}")
 
 
 def parse_records(data: bytes):
-    """(headers, block) of each record of an archive, gzip members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(parts)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
-        length = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is longer or shorter than it says")
-        at += 4
+    """(headers, block) of each record of an archive, gzip members or plain, inflated as it is read."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while version := stream.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError("no record where one should begin")
+        headers = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "surrogateescape").rstrip("\r\n").partition(": ")
+            headers[name.lower()] = value
+        block = stream.read(int(headers["content-length"]))
+        if stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {headers.get('warc-record-id')} is longer or shorter than it says")
+        yield headers, block
 
 
 RECORDS = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("declared_digest", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("fields", pa.string()), ("payload", pa.binary())])
@@ -135,10 +147,13 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     """One row per record. Digest and length are those of the payload as read;
     ``payloads`` false leaves the bytes themselves out."""
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RECORDS)], schema=RECORDS)
+
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for h, block in parse_records(content.as_py()):
                     kind = h["warc-type"]
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
@@ -148,13 +163,14 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                         None if payload is None else len(payload), block.decode("utf-8", "replace") if kind in ("request", "metadata") else None,
                         payload if payloads else None,
                     ))
-                    if len(rows) >= 2048:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RECORDS)], schema=RECORDS)
-                        rows = []
+                    held += len(payload) if payloads and payload else 256
+                    if held >= BATCH_BYTES or len(rows) >= 2048:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RECORDS)], schema=RECORDS)
+                    yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, RECORDS_SQL)
 
 
@@ -177,7 +193,7 @@ def _field(block: Column, name: str) -> Column:
 
 
 def op5_warc(spark, sf_dir):
-    path = shared_dir(spark)
+    path = drop_at_exit(spark, shared_dir(spark))
     write_archives(table(spark, sf_dir, "pages"), path)
     captures = assemble(read_records(spark, path, payloads=False))
     page_of = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1)

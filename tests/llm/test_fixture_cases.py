@@ -200,6 +200,31 @@ def test_warc_round_trip(spark):
     assert warc.assemble(warc.read_records(spark, path)).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    import gzip
+    import os
+
+    # 40 pages of 60 kB: one file of a task under a bound by captures alone, files of two captures here.
+    rows = [(i, f"http://a/{i}", f"{i:06d}" * 10_000) for i in range(40)] + [(100, "http://big", "y" * 700_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = shared_dir(spark)
+    bound = 140_000
+    warc.write_archives(pages, path, file_bytes=bound)
+    sizes = []
+    for folder, _, names in os.walk(path.removeprefix("file://")):
+        sizes += [len(gzip.decompress(open(os.path.join(folder, n), "rb").read())) for n in names if n.startswith("part-")]
+    sizes = sorted(s for s in sizes if s)
+    assert len(sizes) >= 21 and sizes[-2] <= bound and 700_000 < sizes[-1] < 710_000
+    out = {r["response"]["url"]: r["response"]["payload"] for r in warc.assemble(warc.read_records(spark, path)).collect()}
+    assert {u: p.decode() for u, p in out.items()} == {u: h for _, u, h in rows}
+
+
+def test_digest_column(spark):
+    texts = ["", "a", "ünï", "x" * 70_000, *[str(i) for i in range(50)]]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc.digest_column(F.col("t")).alias("d")).collect():
+        assert r["d"] == warc.digest_of(r["t"].encode())
+
+
 def test_broken_archive():
     with pytest.raises(ValueError):
         list(warc.parse_records(b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 2\r\n\r\nabc\r\n\r\n"))
@@ -541,15 +566,26 @@ def test_urls(spark):
 def test_url_score_equals_driver(spark):
     import math
 
-    weights, bias = urlfilter.fitted()
-    urls = [u for u, _ in urlfilter.labelled_urls()]
+    weights, bias, _ = urlfilter.fitted()
+    labelled = [(u, y) for u, y, part in urlfilter.labelled_urls() if part == 2][::7] + [("https://" + "casino" * 20_000 + ".com/x", 1)]
     right = 0
-    for r, (_, y) in zip(urlfilter.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string")).collect(), urlfilter.labelled_urls()):
+    urls = [u for u, _ in labelled]
+    for r, (_, y) in zip(urlfilter.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string")).collect(), labelled):
         slots = urlfilter.slots_of(r["host"], r["path"])
         z = bias + sum(weights[s] for s in slots) / math.sqrt(len(slots))
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
         right += (r["score"] >= 0.5) == bool(y)
-    assert right >= 0.98 * len(urls)
+    assert right >= 0.95 * len(urls)
+
+
+def test_url_model_on_held_out_names():
+    report = urlfilter.held_out_report()
+    assert report["rows"] > 500 and report["precision"] >= 0.9 and report["recall"] >= 0.85 and report["ordinary_blocked"] <= 0.01
+
+
+def test_earlier_rule_wins_ties(spark):
+    rules = (("block", "a.b", "/x"), ("allow", "a.b", "/x"))
+    assert urlfilter.judge_urls(spark.createDataFrame([("http://a.b/x",)], "url string"), rules=rules).first()["verdict"] == "block"
 
 
 # pipeline
