@@ -84,3 +84,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once. A column that a lambda refers to
     may be inlined there by the optimizer and computed for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def last_within(sizes: list[tuple[int, int]], most: int) -> int | None:
+    """The last key of ascending (key, bytes) up to which the bytes together are within ``most``."""
+    last = None
+    for key, n in sizes:
+        most -= n
+        if most < 0:
+            break
+        last = key
+    return last

@@ -4,7 +4,8 @@ A text is the bag of the hashed 1- to 3-grams of its letters (lower case, every
 run of other characters one boundary). The average of their embeddings goes
 through a linear softmax. Both are trained together by stochastic gradient
 descent in numpy on the driver, from a bounded sample of the labelled rows
-(``sample`` rows, those with the smallest hash of their text; whole texts).
+(``sample`` rows and ``sample_bytes`` of text, those with the smallest hash of
+their text; whole texts, so a text larger than that alone ends the sample).
 Afterwards a temperature and a rejection threshold are fitted on a part of that
 sample kept out of training: a prediction whose calibrated probability is under
 the threshold is marked rejected, the prediction itself stays.
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_fold, table
+from quern.llm.common import id_fold, last_within, table
 
 SLOT_BITS = 16
 DIM = 16
 SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 64 << 20
 CHUNK = 1 << 19
 
 
@@ -147,11 +149,12 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
     return ["und" if n else model.langs[b] for n, b in zip(none, best)], score, none | (score < model.threshold)
 
 
-def fit_from(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_ROWS) -> Model | None:
-    """Train on at most ``sample`` rows of ``df`` that have a text and a label."""
+def fit_from(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Train on at most ``sample`` rows of ``df`` that have a text and a label, of ``sample_bytes`` of text together."""
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(text).alias("h"))
-    # First the hashes alone say which texts are in the sample, then only those are sent; copies count once.
-    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # First hashes and sizes alone say which texts are in the sample, then only those are sent; copies count once.
+    sizes = rows.groupBy("h").agg(F.max(F.octet_length("t")).alias("n"), F.count_distinct("y").alias("k")).orderBy("h").limit(sample).collect()
+    last = last_within([(r["h"], r["n"] * r["k"]) for r in sizes], sample_bytes)
     if last is None:
         return None
     rows = sorted(rows.filter(F.col("h") <= last).dropDuplicates(["h", "y"]).collect(), key=lambda r: (r["h"], r["y"]))
@@ -171,7 +174,7 @@ def chunks(texts: list[str | None], size: int = CHUNK):
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Add lang_pred, score and rejected; row-wise, whole texts, no shuffle."""
+    """Add lang_pred, score and rejected (replacing columns of those names); row-wise, whole texts, no shuffle."""
     out = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
     rest = [c for c in df.columns if c not in out]
     sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # at most 2^16 slots x languages

@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_fold, table
+from quern.llm.common import id_fold, last_within, table
 
 TOXIC_ROWS = 1500
 CLEAN_ROWS = 3000
+SAMPLE_BYTES = 64 << 20
 MOST_ENTRIES = 8192
 LEAST_SUPPORT = 3
 LEAST_WEIGHT = 2.0
@@ -182,14 +183,18 @@ def hash_of(words: list[str]) -> int:
     return zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
-def fit_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model | None:
-    """Train on at most ``toxic_rows`` + ``clean_rows`` labelled documents. They are
-    chosen from the labels alone, so only their texts are read and sent."""
+def fit_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Train on at most ``toxic_rows`` + ``clean_rows`` labelled documents, of
+    ``sample_bytes`` of text each kind. They are chosen from the labels alone, so only
+    their texts are read and sent; equal texts count once."""
     kept = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).alias("__y"))
     texts, found = [], []
     for y, most in ((1, toxic_rows), (0, clean_rows)):
         chosen = kept.filter(F.col("__y") == y).distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)
-        rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(chosen), "__id").select("t").collect()
+        rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(chosen), "__id").select("t", F.xxhash64("t").alias("h"))
+        sizes = rows.groupBy("h").agg(F.max(F.octet_length("t")).alias("n")).orderBy("h").limit(most).collect()
+        last = last_within([(r["h"], r["n"]) for r in sizes], sample_bytes)
+        rows = [] if last is None else rows.filter(F.col("h") <= last).dropDuplicates(["h"]).collect()
         texts += sorted(r["t"] for r in rows)
         found += [y] * len(rows)
     return train(texts, found)

@@ -128,6 +128,80 @@ def test_toxicity(docs, none, spark):
     assert toxicity.fit_from(none, labels.limit(0)) is None
 
 
+def toxic_brute(model, text):
+    """Weights of the matched words by trying every entry on every word."""
+    folded = toxicity.words_of(text)
+    covered = set()
+    for phrase in model.exceptions:
+        want = toxicity.words_of(phrase)
+        for i in range(len(folded) - len(want) + 1):
+            if folded[i : i + len(want)] == want:
+                covered |= set(range(i, i + len(want)))
+    out = []
+    for i, w in enumerate(folded):
+        fits = [v for e, v in model.weights.items() if (w.startswith(e[:-1]) if e.endswith("*") else w == e)]
+        if fits and i not in covered:
+            out.append(max(fits))
+    return sorted(out)
+
+
+def test_matches_equal_brute_force():
+    import random
+
+    rng = random.Random(9)
+    vocab = ["moron", "moronic", "m0r0n", "idiot", "1d1ot", "trash", "can", "bin", "tree", "mоron", "tr@sh", "class", "clown"]
+    weights = {"moron*": 3.0, "moron": 4.0, "iiot": 1.0, "idiot": 5.0, "trash": 2.5, "ciown": 2.0, "idio*": 6.0}
+    model = toxicity.Model(weights, None, 1.0).build()
+    exempt = 0
+    for _ in range(300):
+        text = " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 12)))
+        assert sorted(model.matches(toxicity.words_of(text))) == toxic_brute(model, text), text
+        exempt += "trash can" in text
+    assert exempt > 5
+
+
+def test_predictions_equal_brute_force():
+    import math
+
+    import numpy as np
+
+    rows = [(f"the old house {i} is here", "en") for i in range(40)] + [(f"das alte haus {i} ist hier", "de") for i in range(40)]
+    model = langid.train(*zip(*rows))
+    texts = ["Das HAUS, und the house!", "a", "ü ß 12", "x" * 5000, "old-haus 9"]
+    langs, scores, _ = langid.predict(model, texts)
+    for text, lang, score in zip(texts, langs, scores):
+        runs = re.findall(r"[^\W\d_]+", text.lower())
+        marked = " " + " ".join(runs) + " "
+        slots = []
+        for n in (1, 2, 3):
+            for i in range(len(marked) - n + 1):
+                gram = marked[i : i + n]
+                if (gram[0] != " " or gram[-1] != " ") and (n > 1 or gram != " "):
+                    h = 0
+                    for c in gram:
+                        h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+                        h ^= h >> 15
+                    slots.append((h ^ n * 0x1B873593) & 0xFFFF)
+        z = (sum(model.slot_scores[s].astype(float) for s in slots) / len(slots) + model.bias) / model.temperature
+        p = [math.exp(v - max(z)) for v in z]
+        assert model.langs[int(np.argmax(p))] == lang and score == pytest.approx(max(p) / sum(p), abs=1e-6)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    rows = [(i, ("en", "de")[i % 2], f"{('the house', 'das haus')[i % 2]} {i} " + "x" * 1000) for i in range(40)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, lang string, text string")
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "train", lambda texts, labels: seen.append(texts))
+        m.setattr(toxicity, "train", lambda texts, labels: seen.append(texts))
+        langid.fit_from(df, sample_bytes=10_500)
+        langid.fit_from(df, sample=7)
+        labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
+        toxicity.fit_from(df, labels, sample_bytes=5_200)
+        toxicity.fit_from(df, labels, toxic_rows=3, clean_rows=4)
+    assert [len(x) for x in seen] == [10, 7, 10, 7]
+
+
 # packing
 
 
