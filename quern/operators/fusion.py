@@ -78,3 +78,23 @@ def rerank(base: DataFrame, scores: DataFrame, window: int = V.RERANK_DOCS) -> D
     inside = (F.col("rank") <= window) & F.col("reranker_score").isNotNull()
     w = Window.partitionBy("query_id").orderBy(inside.desc(), F.when(inside, F.round("reranker_score", 9)).desc_nulls_last(), F.asc("rank"))
     return joined.withColumn("reranked", F.row_number().over(w))
+
+
+def score_fusion_grid(base: DataFrame, signals: list[str], trials: list[tuple[float, ...]], window: int = V.RERANK_DOCS, top: int = V.TOP_DOCS) -> DataFrame:
+    """``score_fusion`` for every trial (rank weight, then a weight per signal): rows
+    (trial, ..., fused_score, fused_rank), trials numbered from 0. The signals are scaled
+    once; the trials are crossed in after that, before the last rank."""
+    over = Window.partitionBy("query_id")
+    head = base.filter(F.col("rank") <= window)
+    scaled = head.select("*", min_max(1.0 / F.col("rank"), over).alias("__r"), *[F.coalesce(min_max(F.col(c), over), F.lit(0.0)).alias(f"__{c}") for c in signals])
+    parts = ["__r", *[f"__{c}" for c in signals]]
+    tail = base.filter(F.col("rank") > window).select("*", *[F.lit(None).cast("double").alias(c) for c in parts])
+    names = [f"__w{i}" for i in range(len(parts))]
+    table = base.sparkSession.createDataFrame([(n, *map(float, t)) for n, t in enumerate(trials)], ", ".join(["trial int", *[f"{n} double" for n in names]]))
+    crossed = scaled.unionByName(tail).crossJoin(F.broadcast(table))
+    total = F.lit(0.0)
+    for part, name in zip(parts, names):
+        total = total + F.col(name) * F.col(part)
+    crossed = crossed.withColumn("fused_score", F.when(F.col("rank") <= window, total).otherwise(-F.col("rank") * 1e-6)).drop(*parts, *names)
+    w = Window.partitionBy("trial", "query_id").orderBy(F.desc(F.round("fused_score", 9)), F.asc("rank"))
+    return crossed.withColumn("fused_rank", F.row_number().over(w)).filter(F.col("fused_rank") <= top)

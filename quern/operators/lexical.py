@@ -1,10 +1,11 @@
 """Field-weighted BM25 over chunks, and aggregation of chunk scores to documents.
 
-``top_chunks`` ranks without building postings: the queries' weights are
-broadcast in blocks of bounded size, tokens are split in the JVM, and each batch
-of chunks is scored by a matrix product and cut to its best k rows per query. A
-first pass counts document frequencies and lengths. What is shuffled is at most
-queries * k rows a batch, however long the posting lists of common tokens are.
+``top_chunks`` ranks without building postings: the queries' tokens are
+broadcast in blocks of at most ``BLOCK_QUERIES`` queries, tokens are split in the
+JVM, and each task scores its chunks by a sparse product and keeps the best k
+rows of every query as it goes. A first pass counts document frequencies and
+lengths. What is shuffled is at most queries * k rows a task (and ties at the
+cut), however long the posting lists of common tokens are.
 
 ``chunk_scores`` is the relational form: postings of the queries' vocabulary
 only (a semi join before anything is shuffled), joined with the query tokens;
@@ -14,13 +15,14 @@ it returns every score, for audits and further joins.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions import fixed_values as V
 from quern.functions import text as T
@@ -86,61 +88,102 @@ def document_frequency(posted: DataFrame, totals: DataFrame) -> DataFrame:
     return counts.select("token", "df", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def top_k(scored: DataFrame, k: int, ties: list[str], score: str = "score", query: str = "query_id", out: str = "rank") -> DataFrame:
+def top_k(scored: DataFrame, k: int, ties: list[str], score: str = "score", query: str | list[str] = "query_id", out: str = "rank") -> DataFrame:
     """The ``k`` best rows per query; scores are compared to nine decimals, then ``ties`` ascending.
     Spark keeps only k rows per query and task before the shuffle."""
     w = Window.partitionBy(query).orderBy(F.desc(F.round(score, 9)), *[F.asc(t) for t in ties])
     return scored.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
-def to_documents(top: DataFrame, p: Bm25 = Bm25(), chunk: str = "window_idx", evidence: int = 3) -> DataFrame:
-    """Documents of a chunk pool (query_id, doc_id, chunk, score, rank): best score,
-    mean of the best three, support, evidence, and the rank by their weighted sum."""
-    own = Window.partitionBy("query_id", "doc_id").orderBy(F.desc(F.round("score", 9)), F.desc(chunk))
+def to_documents(top: DataFrame, p: Bm25 = Bm25(), chunk: str = "window_idx", evidence: int = 3, by: tuple[str, ...] = ("query_id",), mean_weight: str | None = None, support_weight: str | None = None) -> DataFrame:
+    """Documents of a chunk pool (by..., doc_id, chunk, score, rank): best score,
+    mean of the best three, support, evidence, and the rank by their weighted sum.
+    Weights are those of ``p`` or columns that are constant in each of ``by``."""
+    own = Window.partitionBy(*by, "doc_id").orderBy(F.desc(F.round("score", 9)), F.desc(chunk))
     placed = top.withColumn("__n", F.row_number().over(own))
-    docs = placed.groupBy("query_id", "doc_id").agg(
+    docs = placed.groupBy(*by, "doc_id").agg(
         F.max("score").alias("max_chunk_score"),
         F.avg(F.when(F.col("__n") <= 3, F.col("score"))).alias("mean_top3_chunk_score"),
         F.count("*").alias("support_count"),
         F.min("rank").alias("best_chunk_rank"),
         F.array_sort(F.collect_list(F.when(F.col("__n") <= evidence, F.struct("__n", F.col(chunk).alias("chunk"), "score")))).alias("evidence"),
+        F.max(F.col(mean_weight) if mean_weight else F.lit(p.mean_weight)).alias("__mean"),
+        F.max(F.col(support_weight) if support_weight else F.lit(p.support_weight)).alias("__support"),
     )
     support = F.log1p(F.col("support_count").cast("double")) if p.log_support else F.col("support_count").cast("double")
-    docs = docs.withColumn("score", F.col("max_chunk_score") + p.mean_weight * F.col("mean_top3_chunk_score") + p.support_weight * support)
-    return top_k(docs, p.top_docs, ["best_chunk_rank", "doc_id"])
+    docs = docs.withColumn("score", F.col("max_chunk_score") + F.col("__mean") * F.col("mean_top3_chunk_score") + F.col("__support") * support)
+    return top_k(docs.drop("__mean", "__support"), p.top_docs, ["best_chunk_rank", "doc_id"], query=list(by))
 
 
 BLOCK_QUERIES = 2048
-BATCH_CELLS = 1 << 23
+RUN_CELLS = 1 << 22
 
 
 class _Block:
-    """A block of queries: vocabulary, and how often each query holds each token."""
+    """A block of queries: vocabulary, and per token the queries that hold it and how often."""
 
     def __init__(self, rows: list) -> None:
         self.queries = sorted({r["query_id"] for r in rows})
         self.vocabulary = sorted({r["token"] for r in rows})
         column = {t: i for i, t in enumerate(self.vocabulary)}
-        row = {q: i for i, q in enumerate(self.queries)}
-        self.counts = np.zeros((len(self.vocabulary), len(self.queries)))
-        for r in rows:
-            self.counts[column[r["token"]], row[r["query_id"]]] = r["qtf"]
+        place = {q: i for i, q in enumerate(self.queries)}
+        held = sorted((column[r["token"]], place[r["query_id"]], r["qtf"]) for r in rows)
+        self.token_of, self.query_of = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
+        self.qtf = np.array([h[2] for h in held], float)
+        self.edge = np.searchsorted(self.token_of, np.arange(len(self.vocabulary) + 1))
         self.df = np.zeros(len(self.vocabulary))
         self.n_chunks = self.average = 0.0
 
-    def frequencies(self, batch: pa.RecordBatch, heading_weight: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(first row, weighted token counts as a dense matrix) of runs of a batch's chunks."""
-        step = max(1, BATCH_CELLS // max(1, len(self.vocabulary)))
+    def frequencies(self, batch: pa.RecordBatch, heading_weight: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, rows, row, token, weighted count) of the known tokens of runs of a batch's chunks."""
+        step = max(1, RUN_CELLS // max(1, len(self.queries)))
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
-            tf = np.zeros((part.num_rows, len(self.vocabulary)))
+            cells, weights = [], []
             for name, weight in (("__b", 1.0), ("__h", heading_weight)):
                 lists = part.column(part.schema.get_field_index(name))
-                token = pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string())).to_numpy(zero_copy_only=False)
+                token = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                known = ~np.isnan(token) if token.dtype.kind == "f" else np.ones(len(token), bool)
-                np.add.at(tf, (owner[known], token[known].astype(np.int64)), weight)
-            yield start, tf
+                cells.append((owner * len(self.vocabulary) + token)[token >= 0])
+                weights.append(np.full(len(cells[-1]), weight))
+            cell, back = np.unique(np.concatenate(cells), return_inverse=True)
+            tf = np.bincount(back, weights=np.concatenate(weights), minlength=len(cell))
+            yield start, part.num_rows, cell // len(self.vocabulary), cell % len(self.vocabulary), tf
+
+    def pairs(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``token``, entry of the block) for every query that holds it."""
+        n = self.edge[token + 1] - self.edge[token]
+        which = np.repeat(np.arange(len(token)), n)
+        return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.edge[token], n)
+
+
+class _Best:
+    """The ``k`` best rows of every query so far; ties at the cut stay, the global rank settles them by key."""
+
+    def __init__(self, k: int, queries: int) -> None:
+        self.k, self.most, self.cut = k, 2 * k * queries + RUN_CELLS, np.full(queries, -np.inf)
+        self.query, self.score, self.keys, self.rows = [], [], [], 0
+
+    def add(self, query: np.ndarray, score: np.ndarray, keys: list[pa.Array], row: np.ndarray) -> None:
+        inside = np.round(score, 9) >= self.cut[query]
+        row = pa.array(row[inside])
+        self.query.append(query[inside])
+        self.score.append(score[inside])
+        self.keys.append([k.take(row) for k in keys])
+        self.rows += len(row)
+        if self.rows > self.most:
+            self.prune()
+
+    def prune(self) -> None:
+        query, score = np.concatenate(self.query), np.concatenate(self.score)
+        best = np.round(score, 9)
+        order = np.lexsort((-best, query))
+        edge = np.flatnonzero(np.r_[True, query[order][1:] != query[order][:-1], True])
+        full = edge[:-1][np.diff(edge) >= self.k]
+        self.cut[query[order][full]] = best[order][full + self.k - 1]
+        keep = np.flatnonzero(best >= self.cut[query])
+        keys = [pa.concat_arrays(parts).take(pa.array(keep)) for parts in zip(*self.keys)]
+        self.query, self.score, self.keys, self.rows = [query[keep]], [score[keep]], [keys], len(keep)
 
 
 def _count_block(sent, heading_weight: float):
@@ -150,44 +193,44 @@ def _count_block(sent, heading_weight: float):
         for batch in batches:
             n += batch.num_rows
             length += float(np.sum(batch.column(batch.schema.get_field_index("chunk_len")).to_numpy(zero_copy_only=False)))
-            for _, tf in block.frequencies(batch, heading_weight):
-                df += (tf > 0).sum(axis=0)
+            for *_, token, _ in block.frequencies(batch, heading_weight):
+                df += np.bincount(token, minlength=len(df))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, np.arange(len(df))].astype(np.int64)), pa.array(np.r_[n, length, df])], names=["slot", "n"])
 
     return run
 
 
-def _score_block(sent, trials, heading_weight: float, k: int, keys: int):
+def _score_block(sent, trials, heading_weight: float, k: int, keys: int, query_type: pa.DataType):
     def run(batches):
-        block = sent.value
+        block, names = sent.value, []
         idf = np.log(1 + (block.n_chunks - block.df + 0.5) / (block.df + 0.5))
-        weights = block.counts * idf[:, None]
+        weight, width = block.qtf * idf[block.token_of], len(block.queries)
+        best = {trial: _Best(k, width) for trial, _, _ in trials}
         for batch in batches:
+            names = batch.schema.names[:keys]
+            ids = [batch.column(i) for i in range(keys)]
             length = batch.column(batch.schema.get_field_index("chunk_len")).to_numpy(zero_copy_only=False)
-            for start, tf in block.frequencies(batch, heading_weight):
-                own = length[start : start + len(tf), None]
+            for start, rows, row, token, tf in block.frequencies(batch, heading_weight):
+                which, entry = block.pairs(token)
+                cell = row[which] * width + block.query_of[entry]
+                own = length[row + start] / block.average
                 for trial, k1, b in trials:
-                    scores = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * own / block.average))) @ weights
-                    best = np.round(scores, 9)
-                    # Ties at the cut stay in; the global rank settles them by key.
-                    if len(best) > k:
-                        cut = np.partition(best, len(best) - k, axis=0)[len(best) - k]
-                        inside = (best >= cut) & (best > 0)
-                    else:
-                        inside = best > 0
-                    row, query = np.nonzero(inside)
-                    if not len(row):
-                        continue
-                    taken = [batch.column(i).take(pa.array(row + start)) for i in range(keys)]
-                    ids = pa.array(block.queries).take(pa.array(query))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), trial, np.int32)), ids, *taken, pa.array(scores[row, query])], names=["trial", "query_id", *batch.schema.names[:keys], "score"])
+                    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * own))
+                    scores = np.bincount(cell, weights=part[which] * weight[entry], minlength=rows * width)
+                    hit = np.flatnonzero(scores > 0)
+                    best[trial].add(hit % width, scores[hit], ids, start + hit // width)
+        for trial, own in best.items():
+            if own.rows:
+                own.prune()
+                query = pa.array(block.queries, query_type).take(pa.array(own.query[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.rows, trial, np.int32)), query, *own.keys[0], pa.array(own.score[0])], names=["trial", "query_id", *names, "score"])
 
     return run
 
 
 def scored_chunks(queries: DataFrame, chunks: DataFrame, trials: list[tuple[int, float, float]], k: int, p: Bm25 = Bm25(), key: tuple[str, ...] = ("doc_id", "window_idx"), block: int = BLOCK_QUERIES) -> DataFrame:
     """(trial, query_id, key..., score): at least the ``k`` best chunks of every
-    query and trial (trial, k1, b), cut per batch. Queries go in blocks of about ``block``."""
+    query and trial (trial, k1, b), cut per task. Queries go in blocks of about ``block``."""
     spark = chunks.sparkSession
     asked = query_tokens(queries, p)
     blocks = max(1, -(-queries.count() // block))
@@ -206,7 +249,7 @@ def scored_chunks(queries: DataFrame, chunks: DataFrame, trials: list[tuple[int,
         sent.unpersist()
         own.n_chunks, own.average = counted.get(-2, 0.0), counted.get(-1, 0.0) / max(1.0, counted.get(-2, 0.0)) or 1.0
         own.df = np.array([counted.get(j, 0.0) for j in range(len(own.vocabulary))])
-        part = tokens.mapInArrow(_score_block(spark.sparkContext.broadcast(own), trials, p.heading_weight, k, len(key)), schema)
+        part = tokens.mapInArrow(_score_block(spark.sparkContext.broadcast(own), trials, p.heading_weight, k, len(key), to_arrow_type(asked.schema["query_id"].dataType)), schema)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
@@ -222,3 +265,42 @@ def rank(queries: DataFrame, chunks: DataFrame, p: Bm25 = Bm25(), key: tuple[str
     return to_documents(top_chunks(queries, chunks, p, key), p, key[1])
 
 
+#: The default trials, each with what it changes.
+TRIALS = (
+    ("baseline", {}),
+    ("top500", {"top_chunks": 500}),
+    ("top800", {"top_chunks": 800}),
+    ("support0", {"support_weight": 0.0}),
+    ("support002", {"support_weight": 0.02}),
+    ("support010", {"support_weight": 0.10}),
+    ("mean010", {"mean_weight": 0.10}),
+    ("mean030", {"mean_weight": 0.30}),
+    ("k1_1p2", {"k1": 1.2}),
+    ("k1_1p8", {"k1": 1.8}),
+    ("b_0p55", {"b": 0.55}),
+    ("b_0p90", {"b": 0.90}),
+)
+#: The heading ablation.
+HEADING_TRIALS = (("heading1", {"heading_weight": 1.0}), ("heading3", {"heading_weight": 3.0}))
+
+
+def rank_trials(queries: DataFrame, chunks: DataFrame, trials=TRIALS, p: Bm25 = Bm25(), key: tuple[str, str] = ("doc_id", "window_idx")) -> DataFrame:
+    """(trial, query_id, doc_id, score, rank, ...) of every trial (name, changes to ``p``).
+    Trials that split tokens alike share the scan, and those with equal k1 and b the
+    scores; the pools of the others are cut from the largest."""
+    shared: dict[tuple, list[tuple[str, Bm25]]] = {}
+    for name, changes in trials:
+        own = replace(p, **changes)
+        shared.setdefault((own.heading_weight, own.deaccent, own.stopwords), []).append((name, own))
+    found = None
+    for members in shared.values():
+        scoring = sorted({(own.k1, own.b) for _, own in members})
+        most = max(own.top_chunks for _, own in members)
+        scored = scored_chunks(queries, chunks, [(i, k1, b) for i, (k1, b) in enumerate(scoring)], most, members[0][1], key).withColumnRenamed("trial", "__scoring")
+        ranked = top_k(scored, most, list(key), query=["__scoring", "query_id"])
+        rows = [(name, scoring.index((own.k1, own.b)), own.top_chunks, own.mean_weight, own.support_weight) for name, own in members]
+        table = chunks.sparkSession.createDataFrame(rows, "trial string, __scoring int, __top int, __m double, __s double")
+        pools = ranked.join(F.broadcast(table), "__scoring").filter(F.col("rank") <= F.col("__top"))
+        docs = to_documents(pools, members[0][1], key[1], by=("trial", "query_id"), mean_weight="__m", support_weight="__s")
+        found = docs if found is None else found.unionByName(docs)
+    return found

@@ -9,10 +9,12 @@ from quern.functions import fixed_values as V
 
 
 def judged(rankings: DataFrame, gold: DataFrame, queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., query_id, gold_count, ranks): the sorted ranks of relevant documents,
-    for every query of ``queries`` (crossed with ``by`` values of the rankings)."""
+    """(by..., query_id, gold_count, ranks): the sorted ranks of relevant documents, a
+    document ranked twice by its best, for every query of ``queries`` (crossed with
+    ``by`` values of the rankings)."""
     counts = gold.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("gold_count"))
     hits = rankings.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"])
+    hits = hits.groupBy(*by, "query_id", "doc_id").agg(F.min("rank").alias("rank"))
     hits = hits.groupBy(*by, "query_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
     every = queries.select("query_id").distinct()
     if by:

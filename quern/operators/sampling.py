@@ -49,9 +49,10 @@ def audit_folds(assigned: DataFrame, ident: str, k: int = 5) -> DataFrame:
     return counts.filter("n <> 1")
 
 
-def semi_hard_negatives(candidates: DataFrame, gold: DataFrame, pool: int = 80, first: int = 6, last: int = 60, per_gold: int = 10, most: int | None = 80_000, seed: str = "negatives") -> DataFrame:
+def semi_hard_negatives(candidates: DataFrame, gold: DataFrame, pool: int = 80, first: int = 6, last: int = 60, per_gold: int = 10, most: int | None = None, seed: str = "negatives") -> DataFrame:
     """(query_id, gold_doc, doc_id): per relevant document, up to ``per_gold`` of the query's
-    candidates that are not relevant and stand at ``first``..``last`` among those."""
+    candidates that are not relevant and stand at ``first``..``last`` among those;
+    with ``most``, a random choice of that many in all."""
     rest = candidates.filter(F.col("rank") <= pool).join(gold.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy("rank", "doc_id")
     band = rest.withColumn("place", F.row_number().over(w)).filter(F.col("place").between(first, last))

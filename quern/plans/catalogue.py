@@ -288,6 +288,25 @@ def _(spark, sf):
     return r6(scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("trial", "query_id", "doc_id", "window_idx", "score", "rank"))
 
 
+SQL_TRIALS = ", ".join(str((n, c.get("k1", 1.5), c.get("b", 0.75), c.get("top_chunks", 300), c.get("mean_weight", 0.2), c.get("support_weight", 0.05))) for n, c in lexical.TRIALS)
+
+
+@query("m11_tuning_trials", f"""WITH {SQL_BM25}, trials(trial, k1, b, top, mw, sw) AS (VALUES {SQL_TRIALS}), g AS (
+  SELECT k1, b, query_id, tf.doc_id, tf.window_idx, sum(qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))) AS score
+  FROM q JOIN tf USING (token) JOIN idf USING (token) JOIN lens ON tf.doc_id = lens.doc_id AND tf.window_idx = lens.window_idx CROSS JOIN tot CROSS JOIN (SELECT DISTINCT k1, b FROM trials) GROUP BY 1, 2, 3, 4, 5
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY k1, b, query_id ORDER BY round(score, 9) DESC, doc_id, window_idx) AS rank FROM g
+), pools AS (
+  SELECT trial, query_id, doc_id, score, rank, mw, sw, row_number() OVER (PARTITION BY trial, query_id, doc_id ORDER BY round(score, 9) DESC, window_idx DESC) AS n FROM ranked JOIN trials USING (k1, b) WHERE rank <= top
+), d AS (
+  SELECT trial, query_id, doc_id, max(score) + any_value(mw) * avg(score) FILTER (WHERE n <= 3) + any_value(sw) * count(*) AS s, min(rank) AS best FROM pools GROUP BY 1, 2, 3
+)
+SELECT trial, query_id, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY trial, query_id ORDER BY round(s, 9) DESC, best, doc_id) AS rank FROM d) WHERE rank <= 100""")
+def _(spark, sf):
+    found = lexical.rank_trials(D.questions(spark, sf), D.windows(spark, sf))
+    return r6(found.select("trial", "query_id", "doc_id", "score", "rank"))
+
+
 # --- dense retrieval ---------------------------------------------------------
 
 
@@ -410,6 +429,53 @@ def _(spark, sf):
     return r6(fused.select("query_id", "doc_id", "fused_score", "fused_rank"))
 
 
+FUSION_GRID = [(r, a, b) for r in (0.3, 0.5) for a in (0.4, 0.8) for b in (0.0, 0.3)]
+
+
+@query("f6_score_fusion_grid", SQL_FUSE.replace("{{0}}", "{0}").split("), allrows AS (")[0] + f"""), trials(trial, wr, w1, w2) AS (VALUES {', '.join(str((i, *t)) for i, t in enumerate(FUSION_GRID))}), allrows AS (
+  SELECT trial, query_id, doc_id, rank, CAST(wr * r + w1 * x1 + w2 * x2 AS DOUBLE) AS s FROM scaled CROSS JOIN trials UNION ALL SELECT trial, query_id, doc_id, rank, -rank * 1e-6 FROM base CROSS JOIN trials WHERE rank > 20
+)
+SELECT CAST(trial AS BIGINT) AS trial, query_id, doc_id, round(s, 6) AS fused_score, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY trial, query_id ORDER BY round(s, 9) DESC, rank) AS fused_rank FROM allrows) WHERE fused_rank <= 100""")
+def _(spark, sf):
+    fused = fusion.score_fusion_grid(_fusion_base(spark, sf), ["s1", "s2"], FUSION_GRID, window=20)
+    return r6(fused.select("trial", "query_id", "doc_id", "fused_score", "fused_rank"))
+
+
+@query("s9_ids_of_any_shape", """WITH shaped AS (
+  SELECT doc_id, doc_id % 8 AS k, CAST(doc_id AS VARCHAR) AS a, CAST(doc_id + 1 AS VARCHAR) AS b FROM documents
+), ids AS (
+  SELECT doc_id, CASE WHEN k = 7 THEN [] WHEN k = 5 THEN [a] ELSE [a, b] END AS l FROM shaped
+)
+SELECT CAST(doc_id AS VARCHAR) AS query_id, unnest(l) AS doc_id, unnest(range(1, len(l) + 1)) AS rank FROM ids""")
+def _(spark, sf):
+    a, b = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    shapes = [
+        F.concat(F.lit('["'), a, F.lit('", "'), b, F.lit('", "'), a, F.lit('"]')), F.concat(F.lit('[{"doc_id": "'), a, F.lit('"}, {"doc_id": '), b, F.lit("}]")),
+        F.concat(F.lit('{"answer": ["'), a, F.lit('", "'), b, F.lit('"]}')), F.concat(a, F.lit(" ; "), b, F.lit(",")), F.concat(F.lit('{"answer": {"answer": "'), a, F.lit(","), b, F.lit('"}}')),
+        F.concat(F.lit('{"id": "'), a, F.lit('"}')), F.concat(F.lit('"'), a, F.lit(","), b, F.lit('"')), F.lit("  "),
+    ]
+    shape = F.lit(None).cast("string")
+    for k, s in enumerate(shapes):
+        shape = F.when(F.col("doc_id") % len(shapes) == k, s).otherwise(shape)
+    rows = D.table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), shape.alias("predictions"))
+    return r6(readers.rankings(rows))
+
+
+@query("s10_filled_rankings", f"""WITH {D.SQL_RANKINGS}, both_ AS (
+  SELECT query_id, doc_id, min({{'o': CASE branch WHEN 'a' THEN 0 ELSE 1 END, 'r': rank}}) AS pos FROM rankings WHERE (branch = 'a' AND rank <= 5) OR (branch = 'b' AND rank <= 10) GROUP BY 1, 2
+)
+SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, CAST(doc_id AS VARCHAR)) AS rank FROM both_""")
+def _(spark, sf):
+    rows = D.branch(spark, sf, "a").filter("rank <= 5").select(F.col("query_id").cast("string"), F.col("doc_id").cast("string"), "rank")
+    return r6(readers.fill_rankings(rows, D.branch(spark, sf, "b").filter("rank <= 10")))
+
+
+@query("s8_eval_payload", """SELECT CAST(item_id AS VARCHAR) AS query_id, text AS question, CAST(item_id % 7 AS VARCHAR) AS answer FROM benchmark WHERE item_id % 3 > 0""")
+def _(spark, sf):
+    rows = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 > 0, F.array(F.col("item_id") % 7)).alias("gold_doc_ids"))
+    return readers.eval_payload(rows).select("query_id", "question", F.get("answer", F.lit(0)).alias("answer"))
+
+
 @query("f3_rerank_tail", f"""WITH {D.SQL_RANKINGS}, base AS (
   SELECT x.query_id, x.doc_id, x.rank, p.b AS s FROM rankings x JOIN purchases p ON x.query_id = p.query_id AND x.doc_id = p.doc_id WHERE branch = 'a')
 SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank <= 10 DESC, CASE WHEN rank <= 10 THEN round(s, 9) END DESC NULLS LAST, rank) AS reranked FROM base""")

@@ -13,7 +13,9 @@ CONTEXT = "id string, name string, link string, passage string, _corrupt string"
 QUERIES = "map<string, struct<question:string, answer:array<string>>>"
 SUBMISSION = "map<string, struct<answer:array<string>>>"
 QUERY_KEYS = ("query_id", "qid", "id", "question_id")
-DOC_KEYS = ("fused_doc_ids", "reranked_doc_ids", "doc_ids", "top_docs", "reranked_top_docs", "answer", "top20_rerank", "predictions")
+# The columns that may hold a ranking, in the order they are tried; then those of this library's own files.
+DOC_KEYS = ("fused_doc_ids", "doc_ids", "document_ids", "ranked_doc_ids", "reranked_doc_ids", "top_doc_ids", "top_docs", "answer", "answers", "predictions", "docs", "candidates", "reranked_top_docs", "top20_rerank")
+ID_KEYS = ("doc_id", "candidate_id", "id")
 
 
 def read_json(spark: SparkSession, path: str, schema: str | ST.StructType) -> DataFrame:
@@ -95,20 +97,52 @@ def first_present(df: DataFrame, keys: tuple[str, ...]) -> Column | None:
     return F.coalesce(*found) if found else None
 
 
+def _id_of(element: Column) -> Column:
+    """The id that a JSON text stands for: of an object its first id key, else the value itself."""
+    held = F.coalesce(*[F.get_json_object(element, f"$.{k}") for k in ID_KEYS])
+    return F.trim(F.when(element.startswith("{"), held).otherwise(element))
+
+
+def _plain_ids(text: Column) -> Column:
+    """Ids of a text without JSON: separated by a semicolon or comma."""
+    return F.transform(F.split(text, "[;,]"), lambda x: F.trim(x))
+
+
+def _text_ids(text: Column, depth: int = 3) -> Column:
+    """Ids of a text: a JSON list of values or objects, a JSON object with ``answer`` (of any of
+    these shapes, ``depth`` deep), one JSON value, or ids separated by a semicolon or comma."""
+    text = F.trim(text)
+    values = F.from_json(F.when(text.startswith("["), text), "array<string>")
+    quoted = F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v"))
+    if depth:
+        answer = _text_ids(F.get_json_object(text, "$.answer"), depth - 1)
+        inner = _text_ids(quoted, depth - 1)
+    else:
+        answer, inner = _plain_ids(F.get_json_object(text, "$.answer")), _plain_ids(quoted)
+    return (
+        F.when(values.isNotNull(), F.transform(values, _id_of))
+        .when(text.startswith("{"), F.when(F.get_json_object(text, "$.answer").isNotNull(), answer).otherwise(F.array(_id_of(text))))
+        .when(quoted.isNotNull(), inner)
+        .when(text != "", _plain_ids(text))
+    )
+
+
 def as_ids(df: DataFrame, name: str) -> Column:
     """A column of any of the shapes rankings come in, as an ordered distinct list of ids:
-    list of ids or of objects with doc_id, JSON text, text separated by ; or a comma."""
+    a list of ids or of objects with an id, an object with ``answer`` in it, one value, or
+    text (see ``_text_ids``)."""
     kind, col = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, ST.StructType) and "answer" in kind.names:
+    while isinstance(kind, ST.StructType) and "answer" in kind.names:
         col, kind = col["answer"], kind["answer"].dataType
+    if isinstance(kind, ST.StructType):
+        key = next(k for k in ID_KEYS if k in kind.names)
+        return L.ordered_distinct(F.array(col[key]))
     if isinstance(kind, ST.ArrayType):
         if isinstance(kind.elementType, ST.StructType):
-            key = next(k for k in ("doc_id", "candidate_id", "id") if k in kind.elementType.names)
+            key = next(k for k in ID_KEYS if k in kind.elementType.names)
             return L.ordered_distinct(F.transform(col, lambda x: x[key]))
         return L.ordered_distinct(col)
-    text = F.trim(col.cast("string"))
-    parsed = F.from_json(F.when(text.startswith("["), text), "array<string>")
-    return L.ordered_distinct(F.coalesce(parsed, F.transform(F.split(text, "[;,]"), lambda x: F.trim(x))))
+    return L.ordered_distinct(_text_ids(col.cast("string")))
 
 
 def rankings(df: DataFrame, query_keys: tuple[str, ...] = QUERY_KEYS, doc_keys: tuple[str, ...] = DOC_KEYS) -> DataFrame:
@@ -125,11 +159,41 @@ def only_queries(df: DataFrame, queries: DataFrame) -> DataFrame:
     return df.join(queries.select("query_id"), "query_id", "left_semi")
 
 
-def read_ranking_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a byte order mark and lists in JSON cells."""
+def read_ranking_csv(spark: SparkSession, path: str, both: bool = False, submission: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, rank) of a CSV with a byte order mark and lists in JSON cells: the
+    documents of ``top20_rerank``, or without any those of ``answer``; with ``both`` those
+    of ``answer`` that it lacks come after; with ``submission`` (query_id, doc_id, rank)
+    then its unseen documents, for its queries too."""
     df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    return rankings(df, doc_keys=("top20_rerank", "answer"))
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    query = first_present(df, QUERY_KEYS).cast("string").alias("query_id")
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(as_ids(df, k), none) for k in ("top20_rerank", "answer") if k in df.columns]
+    ids = F.array_distinct(F.concat(*lists)) if both else F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists])
+    rows = df.select(query, F.posexplode(ids).alias("pos", "doc_id"))
+    found = rows.select("query_id", "doc_id", (F.col("pos") + 1).alias("rank"))
+    return found if submission is None else fill_rankings(found, submission)
+
+
+def fill_rankings(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Every query's ranking, then the documents of ``other``'s that it lacks, in their order."""
+    both = rows.select("query_id", "doc_id", F.struct(F.lit(0).alias("o"), F.col("rank").alias("r")).alias("at")).union(
+        other.select(F.col("query_id").cast("string"), F.col("doc_id").cast("string"), F.struct(F.lit(1), F.col("rank")))
+    )
+    first = both.groupBy("query_id", "doc_id").agg(F.min("at").alias("at"))
+    return first.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "doc_id")).alias("rank"))
+
+
+def eval_payload(df: DataFrame) -> DataFrame:
+    """(query_id, question, answer) recovered from a ranking file that carries questions and
+    relevant ids (``answer`` or ``gold``); rows without a relevant id are left out."""
+    query = first_present(df, QUERY_KEYS)
+    gold = [as_ids(df, k) for k in ("gold_doc_ids", "gold", "answer") if k in df.columns]
+    if query is None or not gold:
+        raise ValueError(f"no query or relevant ids among {df.columns}")
+    question = first_present(df, ("question", "query"))
+    rows = df.select(query.cast("string").alias("query_id"), (question if question is not None else F.lit(None).cast("string")).alias("question"), F.coalesce(*gold).alias("answer"))
+    return rows.filter(F.size("answer") > 0)
 
 
 def scored_candidates(df: DataFrame, query: tuple[str, ...] = ("qid", "query_id"), doc: tuple[str, ...] = ("candidate_id", "doc_id"), score: str = "score") -> DataFrame:

@@ -46,6 +46,9 @@ def test_ranking_csv(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_bytes("﻿qid,top20_rerank,answer\n1,\"[\"\"a\"\", \"\"b\"\"]\",\"[\"\"c\"\"]\"\n".encode())
     assert [tuple(r) for r in readers.read_ranking_csv(spark, str(path)).orderBy("rank").collect()] == [("1", "a", 1), ("1", "b", 2)]
+    other = spark.createDataFrame([("1", "b", 1), ("1", "d", 2), ("2", "e", 1)], "query_id string, doc_id string, rank int")
+    got = readers.read_ranking_csv(spark, str(path), both=True, submission=other).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [("1", "a", 1), ("1", "b", 2), ("1", "c", 3), ("1", "d", 4), ("2", "e", 1)]
 
 
 def test_scored_candidates_fail_on_text(spark):
@@ -119,3 +122,12 @@ def test_window_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "window_idx", "body")
     want = chunking.windows(chunking.clean_text(df.filter("text is not null"), "text", stats=None), "clean_text").select("doc_id", "window_idx", "body")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ids_of_any_shape(spark):
+    shapes = ['[{"doc_id":"a"}]', '{"answer":["a","b"]}', '{"answer":"{\\"answer\\": [1, 2]}"}', '[1, 2, 1]', '"a;b"', "a, b;;a", "  ", None, '{"id": 3}', "7"]
+    df = spark.createDataFrame(list(enumerate(shapes)), "qid int, predictions string")
+    got = {}
+    for r in readers.rankings(df).orderBy("query_id", "rank").collect():
+        got.setdefault(int(r["query_id"]), []).append(r["doc_id"])
+    assert got == {0: ["a"], 1: ["a", "b"], 2: ["1", "2"], 3: ["1", "2"], 4: ["a", "b"], 5: ["a", "b"], 8: ["3"], 9: ["7"]}

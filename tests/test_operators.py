@@ -278,3 +278,34 @@ def test_budget():
         validate.within_budget({"b": 5}, {"a"})
     with pytest.raises(ValueError):
         validate.within_budget({"a": 4_000_000_000})
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_ranks_for_query_ids_of_any_type(spark, kind):
+    queries = spark.createDataFrame([(7, "river stone"), (8, "night")], "query_id int, question string").withColumn("query_id", F.col("query_id").cast(kind))
+    chunks = spark.createDataFrame([(1, 0, "head\nriver stone"), (2, 0, "head\nnight river"), (3, 0, "head\nnothing")], "doc_id int, window_idx int, text string")
+    rows = lexical.rank(queries, chunks).collect()
+    got = {(str(r["query_id"]), r["doc_id"]): r["rank"] for r in rows}
+    assert got == {("7", 1): 1, ("7", 2): 2, ("8", 2): 1}
+    assert lexical.rank(queries, chunks).schema["query_id"].dataType.simpleString() == kind
+
+
+def test_cut_holds_for_a_large_vocabulary(spark):
+    question = " ".join(f"w{i}" for i in range(30_001))
+    queries = spark.createDataFrame([(1, question), (2, "w1 w2 w3")], "query_id long, question string")
+    chunks = spark.createDataFrame([(i, 0, "h\n" + " ".join(f"w{(i * j) % 500}" for j in range(1, 6))) for i in range(2000)], "doc_id long, window_idx int, text string").repartition(2)
+    k = 30
+    scored = lexical.scored_chunks(queries, chunks, [(0, 1.5, 0.75)], k)
+    plain = lexical.chunk_scores(queries, chunks)
+    want = {(r["query_id"], r["doc_id"]): round(r["score"], 6) for r in lexical.top_k(plain, k, ["doc_id"]).collect()}
+    got = {(r["query_id"], r["doc_id"]): round(r["score"], 6) for r in lexical.top_k(scored, k, ["doc_id"]).collect()}
+    assert got == want
+    # Two tasks of k rows for each query, and ties at the cut.
+    assert plain.count() > 2000 and scored.count() < 1000
+
+
+def test_a_document_ranked_twice_counts_once(spark):
+    rankings = spark.createDataFrame([(1, 5, 1), (1, 5, 2), (1, 6, 3)], "query_id int, doc_id int, rank int")
+    gold = spark.createDataFrame([(1, 5)], "query_id int, doc_id int")
+    row = metrics.rank_metrics(metrics.judged(rankings, gold, gold)).first()
+    assert row["recall_5"] == 1.0 and row["mrr"] == 1.0
