@@ -10,11 +10,6 @@ from quern.functions import text as T
 from quern.operators.chunking import let
 
 
-def counts_of(tokens: Column) -> Column:
-    """array<struct(token, n)> of an array of tokens."""
-    return F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.size(F.filter(tokens, lambda x: x == t)).alias("n")))
-
-
 def overlap_scores(pairs: DataFrame, question: str = "question", body: str = "body", heading: str = "heading", heading_bonus: float = 0.25, exact_bonus: float = 0.0, body_chars: int = 6000) -> DataFrame:
     """Add ``overlap`` to (query, chunk) pairs: shared token occurrences over the
     question's distinct tokens, plus a bonus where the heading holds a token, and
@@ -35,7 +30,7 @@ def overlap_scores(pairs: DataFrame, question: str = "question", body: str = "bo
     score = let(tokens, lambda x: score_of(x["q"], x["c"], x["low"]))
     if exact_bonus:
         start = T.first_chars(T.strip_accents(F.lower(F.col(question))), 80)
-        score = score + F.when(F.contains(T.strip_accents(F.lower(F.col(body))), start), exact_bonus).otherwise(0.0)
+        score = score + F.when((start != "") & F.contains(T.strip_accents(F.lower(F.col(body))), start), exact_bonus).otherwise(0.0)
     return pairs.withColumn("overlap", score)
 
 

@@ -13,6 +13,18 @@ def hash_order(seed: str, *cols: str) -> Column:
     return F.sha1(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in cols]).cast("binary"))
 
 
+def hash_place(df: DataFrame, ident: str, stratum: str, seed: str, out: str = "__n") -> DataFrame:
+    """Add a row's place (from 1) in its stratum's hash order. Rows are ranked within 4,096
+    ranges of the hash and the ranges' counts added, so no task sorts a whole stratum."""
+    keyed = df.withColumn("__h", hash_order(seed, ident)).withColumn("__p", F.substring("__h", 1, 3))
+    sizes = keyed.groupBy(F.col(stratum).alias("__s2"), F.col("__p").alias("__p2")).agg(F.count("*").alias("__size"))
+    before = Window.partitionBy("__s2").orderBy("__p2").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__s2", "__p2", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    local = F.row_number().over(Window.partitionBy(stratum, "__p").orderBy("__h", ident))
+    placed = keyed.withColumn(out, local).join(starts, F.col(stratum).eqNullSafe(F.col("__s2")) & (F.col("__p") == F.col("__p2")))
+    return placed.withColumn(out, F.col(out) + F.col("__start")).drop("__h", "__p", "__s2", "__p2", "__start")
+
+
 def stratified_split(df: DataFrame, ident: str, stratum: str, size: int, seed: str = "split") -> DataFrame:
     """Add ``part`` (dev or train): ``size`` dev rows shared out over the strata by floor, then by
     largest remainder, larger stratum values first on ties. A stratum's rows go by hash."""
@@ -24,15 +36,13 @@ def stratified_split(df: DataFrame, ident: str, stratum: str, size: int, seed: s
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("left"), F.desc(stratum))
     spare = F.lit(size) - F.sum("base").over(Window.partitionBy(F.lit(1)))
     quota = quota.withColumn("take", F.col("base") + (F.row_number().over(order) <= spare).cast("int"))
-    own = Window.partitionBy(stratum).orderBy(hash_order(seed, ident), ident)
-    placed = df.withColumn("__n", F.row_number().over(own)).join(F.broadcast(quota.select(F.col(stratum).alias("__s"), "take")), F.col(stratum).eqNullSafe(F.col("__s")))
+    placed = hash_place(df, ident, stratum, seed).join(F.broadcast(quota.select(F.col(stratum).alias("__s"), "take")), F.col(stratum).eqNullSafe(F.col("__s")))
     return placed.withColumn("part", F.when(F.col("__n") <= F.col("take"), "dev").otherwise("train")).drop("__n", "__s", "take")
 
 
 def folds(df: DataFrame, ident: str, stratum: str, k: int = 5, seed: str = "folds") -> DataFrame:
     """Add ``fold`` 1..k, dealt round within each stratum in hash order."""
-    own = Window.partitionBy(stratum).orderBy(hash_order(seed, ident), ident)
-    return df.withColumn("fold", (F.row_number().over(own) - 1) % k + 1)
+    return hash_place(df, ident, stratum, seed).withColumn("fold", ((F.col("__n") - 1) % k + 1).cast("int")).drop("__n")
 
 
 def phases(assigned: DataFrame, ident: str, k: int = 5) -> DataFrame:

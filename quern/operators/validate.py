@@ -80,6 +80,12 @@ def coverage(a: DataFrame, b: DataFrame, ident: str = "query_id") -> DataFrame:
     return x.join(y, ident, "left_anti").withColumn("side", F.lit("left")).union(y.join(x, ident, "left_anti").withColumn("side", F.lit("right")))
 
 
+def token_id_issues(batches: DataFrame, ids: str, vocabulary: int) -> DataFrame:
+    """Rows whose token ids leave 0 to ``vocabulary`` - 1, with ``lowest`` and ``highest``."""
+    ranged = batches.withColumns({"lowest": F.array_min(ids), "highest": F.array_max(ids)})
+    return ranged.filter((F.col("lowest") < 0) | (F.col("highest") >= vocabulary))
+
+
 def within_budget(parameters: dict[str, int], allowed: set[str] | None = None, most: int = 4_000_000_000) -> int:
     """Sum of model sizes; fails beyond the budget or for a model that is not allowed."""
     if allowed is not None and (odd := sorted(set(parameters) - allowed)):

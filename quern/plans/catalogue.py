@@ -13,7 +13,7 @@ from quern.functions import fixed_values as V
 from quern.functions import lists as L
 from quern.functions import text as T
 from quern.functions import vectors as Vec
-from quern.operators import chunking, dense, evidence, fusion, lexical, metrics, sampling, scorers, validate
+from quern.operators import chunking, dense, evidence, fusion, lexical, metrics, sampling, scorers, supervision, validate
 from quern.plans import derived as D
 from quern.sources import readers, sinks
 
@@ -488,11 +488,13 @@ GRID = [(i, float(k), w) for i, (k, w) in enumerate((k, w) for k in (20, 40, 60,
 
 
 def grid_metrics(spark, sf):
-    """All trials in one job: parameters are joined to the rankings just before the sum."""
+    """All trials in one job, crossed in after the branches are aligned."""
     trials = spark.createDataFrame(GRID, "trial int, k double, w double")
-    rows = D.rankings(spark, sf, ("a", "b")).crossJoin(F.broadcast(trials))
-    score = F.sum(F.when(F.col("branch") == "a", 1.0).otherwise(F.col("w")) / (F.col("k") + F.col("rank")))
-    fused = rows.groupBy("trial", "query_id", "doc_id").agg(score.alias("score"))
+    rank = lambda b: F.min(F.when(F.col("branch") == b, F.col("rank"))).alias(b)
+    # One row per document before the trials multiply the rows; all that follows stays with its query.
+    wide = D.rankings(spark, sf, ("a", "b")).repartition("query_id").groupBy("query_id", "doc_id").agg(rank("a"), rank("b"))
+    score = F.coalesce(1.0 / (F.col("k") + F.col("a")), F.lit(0.0)) + F.coalesce(F.col("w") / (F.col("k") + F.col("b")), F.lit(0.0))
+    fused = wide.crossJoin(F.broadcast(trials)).select("trial", "query_id", "doc_id", score.alias("score"))
     ranked = fusion.ranked(fused, ("trial", "query_id"), [F.asc("doc_id")], V.TOP_DOCS)
     judged = metrics.judged(ranked, D.gold(spark, sf), D.customers(spark, sf), by=("trial",))
     return metrics.macro(metrics.rank_metrics(judged, by=("trial",)), by=("trial",))
@@ -855,3 +857,242 @@ def _(spark, sf):
 SELECT query_id, doc_id, CAST(arg_max(window_idx, {{'s': round(s, 9), 'k': -window_idx}}) AS BIGINT) AS window_idx, round(max(s), 6) AS overlap FROM s GROUP BY 1, 2""")
 def _(spark, sf):
     return r6(scorers.best_chunk(evidence_pairs(spark, sf)).select("query_id", "doc_id", "window_idx", "overlap"))
+
+
+# --- supervision, phases, encoder plans ---------------------------------------
+
+SQL_BEST = "SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(mx + 0.2 * m3 + 0.05 * sup, 9) DESC, best, doc_id) AS rank FROM docs) WHERE rank <= {0}"
+
+
+def ranked_pairs(spark, sf):
+    """``evidence_pairs`` with the document's rank; the first three stand in for relevant ones."""
+    asked = D.questions(spark, sf)
+    docs = lexical.rank(asked, D.windows(spark, sf)).filter("rank <= 10").select("query_id", "doc_id", "rank")
+    chunks = D.windows(spark, sf).withColumn("word_count", F.col("end_word") - F.col("start_word"))
+    return docs.join(chunks, "doc_id").join(asked, "query_id")
+
+
+@query("x4_training_pairs", SQL_EVIDENCE + f", near AS ({SQL_BEST.format(3)}) SELECT query_id, doc_id, CAST(window_idx AS BIGINT) AS window_idx, pick FROM pk JOIN near USING (query_id, doc_id) WHERE pick <= 2 AND trim(body) <> ''")
+def _(spark, sf):
+    scored = evidence.overlap_scores(ranked_pairs(spark, sf))
+    return r6(supervision.training_pairs(scored, scored.filter("rank <= 3")).select("query_id", "doc_id", "window_idx", "pick"))
+
+
+@query("x7_supervision_skeleton", SQL_EVIDENCE.replace("0.25 ELSE", "0.2 ELSE") + f""", near AS ({SQL_BEST.format(6)}), sk AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(overlap, 9) DESC, abs(wc - 320), window_idx) AS place FROM ov WHERE trim(body) <> ''
+)
+SELECT query_id, doc_id, CASE WHEN rank <= 3 THEN 'positive' ELSE 'negative' END AS kind, place, CAST(window_idx AS BIGINT) AS window_idx FROM sk JOIN near USING (query_id, doc_id) WHERE place <= CASE WHEN rank <= 3 THEN 5 ELSE 1 END""")
+def _(spark, sf):
+    scored = evidence.overlap_scores(ranked_pairs(spark, sf), heading_bonus=0.2)
+    docs = scored.select("query_id", "doc_id", "rank")
+    return r6(supervision.skeleton(scored, docs.filter("rank <= 3"), docs, candidates=6).select("query_id", "doc_id", "kind", "place", "window_idx"))
+
+
+@query("t23_exact_bonus", SQL_EVIDENCE + f""" SELECT ov.query_id, doc_id, CAST(window_idx AS BIGINT) AS window_idx,
+  round(overlap + CASE WHEN text <> '' AND contains(strip_accents({SQL_D.format('lower(body)')}), substr(strip_accents({SQL_D.format('lower(text)')}), 1, 80)) THEN 0.5 ELSE 0 END, 6) AS overlap FROM ov JOIN benchmark ON item_id = ov.query_id""")
+def _(spark, sf):
+    return r6(evidence.overlap_scores(evidence_pairs(spark, sf), exact_bonus=0.5).select("query_id", "doc_id", "window_idx", "overlap"))
+
+
+LETTERS = "aeinorst"
+
+
+def _letters(df, text, out):
+    """Letter counts as a unit vector: an encoder that SQL can repeat."""
+    return df.withColumn(out, Vec.unit(F.array(*[(F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))).cast("double") for c in LETTERS])))
+
+
+SQL_LETTERS = f"list_transform([{', '.join(repr(c) for c in LETTERS)}], lambda l: CAST(length({{0}}) - length(replace({{0}}, l, '')) AS DOUBLE))"
+SQL_ENCODED = rf"""WITH {SQL_BM25}, near AS ({SQL_BEST.format(10)}), p AS (
+  SELECT near.query_id, near.rank, windows.doc_id, window_idx, body, benchmark.text AS question, list_distinct(regexp_extract_all(lower(benchmark.text), '[\p{{L}}\p{{N}}_]+')) AS q,
+    list_distinct(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+')) AS c FROM near JOIN windows USING (doc_id) JOIN benchmark ON item_id = query_id
+), c1 AS (
+  SELECT query_id, doc_id, any_value(rank) AS rank, any_value(question) AS question, arg_max(body, {{'s': round(len(list_intersect(q, c)) / CAST(greatest(len(q), 1) AS DOUBLE), 9), 'k': -window_idx}}) AS body FROM p GROUP BY 1, 2
+), v AS (
+  SELECT *, {SQL_LETTERS.format('question')} AS qv, {SQL_LETTERS.format('body')} AS cv FROM c1
+), sc AS (
+  SELECT query_id, doc_id, rank, list_dot_product(qv, cv) / (greatest(sqrt(list_dot_product(qv, qv)), 1e-12) * greatest(sqrt(list_dot_product(cv, cv)), 1e-12)) AS score FROM v
+)"""
+
+
+def _encoder_rerank(depth):
+    def run(spark, sf):
+        found = scorers.encoder_rerank(ranked_pairs(spark, sf), _letters, depth)
+        return r6(found.select("query_id", "doc_id", "rank", F.col("reranker_score").alias("score"), "reranked"))
+
+    return run
+
+
+for _name, _depth in (("f9_encoder_rerank", 6), ("f11_dev_rerank", 10)):
+    query(_name, SQL_ENCODED + f""" SELECT query_id, doc_id, rank, CASE WHEN rank <= {_depth} THEN round(score, 6) END AS score,
+      row_number() OVER (PARTITION BY query_id ORDER BY rank <= {_depth} DESC, CASE WHEN rank <= {_depth} THEN round(score, 9) END DESC NULLS LAST, rank) AS reranked FROM sc""")(_encoder_rerank(_depth))
+
+
+SQL_HOLDOUT = f"""{D.SQL_GOLD}, hl AS (SELECT query_id, least(count(*), 4) AS s FROM gold GROUP BY 1), hq AS (
+  SELECT s, count(*) AS n, 50 * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS e FROM hl GROUP BY 1), ht AS (
+  SELECT s, floor(e) + CASE WHEN row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, s DESC) <= 50 - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS take FROM hq), hr AS (
+  SELECT query_id, s, row_number() OVER (PARTITION BY s ORDER BY sha1('holdout|' || query_id), query_id) AS k FROM hl), holdout AS (
+  SELECT query_id, CAST(s AS BIGINT) AS stratum, CASE WHEN k <= take THEN 'dev' ELSE 'train' END AS part FROM hr JOIN ht USING (s))"""
+
+
+@query("x2_fast_holdout", f"WITH {SQL_HOLDOUT} SELECT query_id, stratum, part FROM holdout")
+def _(spark, sf):
+    return r6(supervision.fast_holdout(D.gold(spark, sf), 50).select("query_id", "stratum", "part"))
+
+
+def _nation_folds(spark, sf):
+    return sampling.folds(D.table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), "c_nationkey"), "query_id", "c_nationkey")
+
+
+SQL_FOLDS = "folds AS (SELECT c_custkey AS query_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY sha1('folds|' || c_custkey), c_custkey) - 1) % 5 + 1 AS fold FROM customer)"
+
+
+@query("x10_all_phases", f"""WITH {SQL_HOLDOUT}, {SQL_FOLDS}
+SELECT query_id, 'fast' AS phase, CASE WHEN part = 'dev' THEN 'heldout' ELSE 'base' END AS role FROM holdout
+UNION ALL SELECT query_id, 'oof_fold_' || k, CASE WHEN fold = k THEN 'heldout' ELSE 'base' END FROM folds SEMI JOIN gold USING (query_id) CROSS JOIN (SELECT unnest(range(1, 6)) AS k)
+UNION ALL SELECT c_custkey, 'fulltrain_dev', CASE WHEN c_custkey IN (SELECT query_id FROM gold) THEN 'base' ELSE 'heldout' END FROM customer""")
+def _(spark, sf):
+    train = D.gold(spark, sf).select("query_id").distinct()
+    dev = D.customers(spark, sf).join(train, "query_id", "left_anti")
+    folds = _nation_folds(spark, sf).join(train, "query_id", "left_semi")
+    return supervision.phase_table(train, dev, supervision.fast_holdout(D.gold(spark, sf), 50), folds)
+
+
+@query("x10_merge_issues", f"""WITH {D.SQL_RANKINGS}, {D.SQL_GOLD}, {SQL_FOLDS}, fr AS (
+  SELECT r.query_id, count(g.doc_id) AS pos FROM rankings r LEFT JOIN gold g ON g.query_id = r.query_id AND g.doc_id = r.doc_id WHERE branch = 'a' AND rank <= 5 GROUP BY 1
+)
+SELECT part, 'missing_query' AS kind, CAST(c_custkey AS VARCHAR) AS item_id FROM customer CROSS JOIN (VALUES ('oof'), ('fulltrain_dev')) t(part) WHERE c_custkey NOT IN (SELECT query_id FROM fr)
+UNION ALL SELECT 'oof', 'no_positive', CAST(query_id AS VARCHAR) FROM fr WHERE pos = 0
+UNION ALL SELECT 'fulltrain_dev', 'bad_fold', CAST(query_id AS VARCHAR) FROM fr JOIN folds USING (query_id) WHERE fold <> 1""")
+def _(spark, sf):
+    gold = D.gold(spark, sf).withColumn("label", F.lit(1))
+    rows = D.branch(spark, sf, "a").filter("rank <= 5").join(gold, ["query_id", "doc_id"], "left").fillna(0, ["label"])
+    frame = rows.join(_nation_folds(spark, sf), "query_id")
+    # Folds of the second part are made wrong but for the first.
+    shifted = frame.withColumn("fold", F.col("fold") - 2)
+    asked = D.customers(spark, sf)
+    found = supervision.merge_issues({"oof": (frame, asked), "fulltrain_dev": (shifted, asked)}, ["query_id", "doc_id", "label", "fold"])
+    return found.select("part", "kind", "item_id")
+
+
+@query("m17_broken_folds", """WITH f AS (SELECT doc_id, (row_number() OVER (PARTITION BY 2 * quality + toxic ORDER BY sha1('folds|' || doc_id), doc_id) - 1) % 5 + 1 AS fold FROM labels)
+SELECT doc_id, CAST(CASE fold WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS n FROM f WHERE fold <= 2""")
+def _(spark, sf):
+    """Ids of fold 1 assigned twice, ids of fold 2 to no fold."""
+    assigned = sampling.folds(_labelled(spark, sf), "doc_id", "stratum")
+    broken = assigned.withColumn("fold", F.when(F.col("fold") == 2, F.lit(0)).otherwise(F.col("fold")))
+    return r6(sampling.audit_folds(broken.unionByName(broken.filter("fold = 1")), "doc_id"))
+
+
+@query("j11_both_sides", f"""WITH {D.SQL_GOLD} SELECT DISTINCT doc_id, 'left' AS side FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM gold)""")
+def _(spark, sf):
+    return validate.coverage(D.gold(spark, sf), D.table(spark, sf, "labels"), "doc_id")
+
+
+@query("o3_frame_order", f"""WITH {D.SQL_RANKINGS}, wide AS (
+  SELECT query_id, doc_id, {', '.join(f"coalesce(min(rank) FILTER (WHERE branch = '{b}'), 999) AS {b}_rank" for b in D.BRANCHES)} FROM rankings WHERE rank <= 10 GROUP BY 1, 2)
+SELECT query_id, doc_id, a_rank, b_rank, c_rank, row_number() OVER (PARTITION BY query_id ORDER BY a_rank, b_rank, c_rank, doc_id) AS place FROM wide""")
+def _(spark, sf):
+    rows = D.rankings(spark, sf).filter("rank <= 10")
+    ranks = [f"{b}_rank" for b in D.BRANCHES]
+    wide = rows.groupBy("query_id", "doc_id").agg(*[F.coalesce(F.min(F.when(F.col("branch") == b, F.col("rank"))), F.lit(V.MISSING_RANK)).alias(f"{b}_rank") for b in D.BRANCHES])
+    ordered = supervision.sorted_frame(wide, ranks)
+    # The sort's outcome shows as the place of a row among its query's.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("__at"))
+    return r6(ordered.withColumn("__at", F.monotonically_increasing_id()).withColumn("place", place).drop("__at"))
+
+
+@query("p6_prefix_limit", "SELECT item_id FROM benchmark ORDER BY item_id LIMIT 20")
+def _(spark, sf):
+    return supervision.first_rows(D.table(spark, sf, "benchmark").select("item_id"), 20, "item_id")
+
+
+@query("p5_no_weight", f"""WITH {D.SQL_RANKINGS}, f AS (SELECT query_id, doc_id, sum(CASE branch WHEN 'a' THEN 1.0::DOUBLE ELSE 0.5 END / (60 + rank)) AS s FROM rankings WHERE branch <> 'c' GROUP BY 1, 2)
+SELECT query_id, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 100""")
+def _(spark, sf):
+    weights = _weights(spark, [("a", 1.0, 0), ("b", 0.5, 1), ("c", 0.0, 2)])
+    return r6(fusion.rrf(D.rankings(spark, sf), weights, tie="doc_id").select("query_id", "doc_id", "score", "rank"))
+
+
+@query("v4_embedding_positions", "SELECT l_partkey AS chunk_idx, row_number() OVER (ORDER BY l_partkey) - 1 AS position FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def _(spark, sf):
+    needed = D.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("chunk_idx"))
+    return r6(supervision.positions(needed, "chunk_idx", 64))
+
+
+@query("m19_token_ids", "SELECT l_orderkey, l_linenumber, least(l_partkey, l_linenumber - 2) AS lowest, greatest(l_partkey, l_linenumber - 2) AS highest FROM lineitem WHERE l_linenumber < 2 OR l_partkey >= 150")
+def _(spark, sf):
+    rows = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_partkey").cast("bigint"), F.col("l_linenumber").cast("bigint") - 2).alias("ids"))
+    return validate.token_id_issues(rows, "ids", 150).select("l_orderkey", "l_linenumber", "lowest", "highest")
+
+
+@query("t27_segmented", r"SELECT doc_id, sha1(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ', '_')) AS text FROM documents")
+def _(spark, sf):
+    rows = scorers.segment(D.table(spark, sf, "documents").select("doc_id", "text"), "text", lambda c: F.replace(c, F.lit(" "), F.lit("_")))
+    return rows.select("doc_id", T.sha1(F.col("text")).alias("text"))
+
+
+@query("t1_newlines", "SELECT doc_id, sha1(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text FROM documents")
+def _(spark, sf):
+    crlf = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))
+    return D.table(spark, sf, "documents").select("doc_id", T.sha1(T.newlines(crlf)).alias("text"))
+
+
+@query("f10_logits", "SELECT l_orderkey, l_linenumber, CAST(CASE l_linenumber % 3 WHEN 0 THEN l_quantity WHEN 1 THEN l_tax - l_quantity ELSE greatest(l_quantity, l_tax, l_discount) END AS DOUBLE) AS logit FROM lineitem")
+def _(spark, sf):
+    q, t, d = (F.col(c).cast("double") for c in ("l_quantity", "l_tax", "l_discount"))
+    logits = F.when(F.col("l_linenumber") % 3 == 0, F.array(q)).when(F.col("l_linenumber") % 3 == 1, F.array(q, t)).otherwise(F.array(q, t, d))
+    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", Vec.relevance(logits).alias("logit"))
+
+
+@query("l8_required_members", f"""WITH {D.SQL_RANKINGS}, {D.SQL_GOLD}, c AS (SELECT query_id, list(doc_id ORDER BY rank) AS c FROM rankings WHERE branch = 'a' AND rank <= 8 GROUP BY 1), g AS (
+  SELECT query_id, CASE WHEN min(doc_id) = max(doc_id) THEN [min(doc_id)] ELSE [min(doc_id), max(doc_id)] END AS g FROM gold GROUP BY 1
+), m AS (SELECT query_id, c, list_filter(g, lambda x: NOT list_contains(c, x)) AS m FROM c JOIN g USING (query_id))
+SELECT query_id, array_to_string(list_concat(c[1:8 - len(m)], m), ',') AS members FROM m""")
+def _(spark, sf):
+    lists = D.branch(spark, sf, "a").filter("rank <= 8").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("c"))
+    needed = D.gold(spark, sf).groupBy("query_id").agg(F.array_distinct(F.array(F.min("doc_id").cast("string"), F.max("doc_id").cast("string"))).alias("g"))
+    return lists.join(needed, "query_id").select("query_id", F.array_join(L.ensure_members(F.col("c"), F.col("g"), 8), ",").alias("members"))
+
+
+_PER_QUERY = ORACLES["m1_official_metrics"].split("SELECT c_custkey")
+
+
+@query("m2_official_macro", _PER_QUERY[0] + "SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("precision", "recall", "hit", "mrr")) + ", count(*) AS n_queries FROM (SELECT c_custkey" + _PER_QUERY[1].replace("round(", "(").replace(", 6)", ")") + ")")
+def _(spark, sf):
+    given = D.branch(spark, sf, "a").filter(F.col("rank") <= 3 + F.col("query_id") % 4)
+    return r6(metrics.macro(metrics.official_metrics(given, D.gold(spark, sf), D.customers(spark, sf))))
+
+
+@query("m4_recall_10", f"""WITH {D.SQL_RANKINGS}, {D.SQL_GOLD}, h AS (SELECT g.query_id, count(*) AS g, count(r.doc_id) AS h FROM gold g LEFT JOIN rankings r ON r.query_id = g.query_id AND r.doc_id = g.doc_id AND branch = 'b' AND rank <= 10 GROUP BY 1)
+SELECT c_custkey AS query_id, round(coalesce(h / CAST(g AS DOUBLE), 0), 6) AS recall_10 FROM customer LEFT JOIN h ON h.query_id = c_custkey""")
+def _(spark, sf):
+    judged = metrics.judged(D.branch(spark, sf, "b"), D.gold(spark, sf), D.customers(spark, sf))
+    return r6(metrics.rank_metrics(judged, depths=(10,)).select("query_id", "recall_10"))
+
+
+@query("s4_document_index", f"WITH {D.SQL_WINDOWS} SELECT doc_id, string_agg(CAST(window_idx AS VARCHAR), ',' ORDER BY window_idx) AS chunks, any_value(heading) AS metadata FROM windows GROUP BY 1")
+def _(spark, sf):
+    chunks = D.windows(spark, sf).select("doc_id", F.col("window_idx").alias("chunk_idx"), F.col("heading").alias("metadata"))
+    return readers.doc_index(chunks).select("doc_id", F.array_join(F.transform("chunk_idxs", lambda x: x.cast("string")), ",").alias("chunks"), "metadata")
+
+
+@query("s6_rankings_of_queries", f"WITH {D.SQL_RANKINGS}, {D.SQL_GOLD} SELECT query_id, doc_id, rank FROM rankings WHERE branch = 'a' AND query_id IN (SELECT query_id FROM gold)")
+def _(spark, sf):
+    return r6(readers.only_queries(D.branch(spark, sf, "a"), D.gold(spark, sf)).select("query_id", "doc_id", "rank"))
+
+
+@query("s7_reranker_scores", f"WITH {D.SQL_RANKINGS} SELECT query_id, doc_id, round(score, 6) AS reranker_score FROM rankings WHERE branch = 'b' AND rank <= 10")
+def _(spark, sf):
+    rows = D.branch(spark, sf, "b").filter("rank <= 10").groupBy("query_id").agg(F.collect_list(F.struct("doc_id", F.col("score").alias("reranker_score"))).alias("reranked_top_docs"))
+    return r6(readers.reranker_scores(rows))
+
+
+@query("s14_checked_split", f"WITH {D.SQL_GOLD} SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS gold FROM gold GROUP BY 1")
+def _(spark, sf):
+    rows = D.gold(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    # Every id twice and a blank one: the split keeps distinct ids in order.
+    text = F.transform("ids", lambda x: x.cast("string"))
+    split = readers.checked_split(rows.select("query_id", F.concat(text, F.array(F.lit("")), text).alias("answer")))
+    return split.select("query_id", F.array_join("gold", ",").alias("gold"))
