@@ -309,3 +309,22 @@ def test_a_document_ranked_twice_counts_once(spark):
     gold = spark.createDataFrame([(1, 5)], "query_id int, doc_id int")
     row = metrics.rank_metrics(metrics.judged(rankings, gold, gold)).first()
     assert row["recall_5"] == 1.0 and row["mrr"] == 1.0
+
+
+def test_all_scores_without_a_shuffle(spark):
+    df = spark.createDataFrame([(i, 0, f"h\nalpha word{i}") for i in range(9)], "doc_id long, window_idx int, text string")
+    found = lexical.chunk_scores(spark.createDataFrame([(1, "alpha"), (2, "word3")], "query_id int, question string"), df)
+    assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == [(1, i) for i in range(9)] + [(2, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_task_holds_a_bounded_run_of_chunks():
+    import pyarrow as pa
+
+    block = lexical._Block([{"query_id": 1, "token": "a", "qtf": 1}])
+    bodies = [["a"] * 60_000 for _ in range(7)] + [["a"] * 300_000] + [["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(bodies), pa.array([[] for _ in bodies], pa.list_(pa.string()))], names=["__b", "__h"])
+    runs = list(block.frequencies(batch, 2.0))
+    assert [r[1] for r in runs] == [2, 2, 2, 1, 1, 1]
+    assert [x for r in runs for x in zip((r[0] + r[2]).tolist(), r[4].tolist())] == [(i, 60_000.0) for i in range(7)] + [(7, 300_000.0)]
