@@ -1,8 +1,8 @@
 """Exact vector search and pools.
 
 The query side is cut into blocks of bounded size; each block is broadcast and
-multiplied with the corpus batch by batch (Arrow, numpy), which keeps only the
-best ``k`` rows per query and batch. So what is shuffled is queries * k rows
+multiplied with the corpus in runs of bounded size (Arrow, numpy), of which a task
+keeps the best ``k`` rows per query as it goes. So what is shuffled is queries * k rows
 per task, and a large query set is more blocks, not a larger broadcast.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quern.functions import vectors as Vec
 
 BLOCK_QUERIES = 4096
+#: (query, row) cells that a task scores at once.
+RUN_CELLS = 1 << 20
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -49,13 +51,17 @@ def dense_search(queries: DataFrame, corpus: DataFrame, k: int, query_id: str =
 def _search(sent, k: int):
     def run(batches):
         ids, vectors = sent.value
+        step = max(1, RUN_CELLS // len(ids))
+        best, owner = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
-            c = batch.column(0).to_numpy()
-            scores = vectors @ _matrix(batch.column(1), vectors.shape[1]).T
-            order = np.lexsort((np.broadcast_to(c, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, order.shape[1])), pa.array(c[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["q", "c", "score"]
-            )
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                c = part.column(0).to_numpy()
+                scores = np.concatenate([best, vectors @ _matrix(part.column(1), vectors.shape[1]).T], axis=1)
+                rows = np.concatenate([owner, np.broadcast_to(c, (len(ids), len(c)))], axis=1)
+                order = np.lexsort((rows, -np.round(scores, 9)), axis=1)[:, :k]
+                best, owner = np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(owner.ravel()), pa.array(best.ravel())], names=["q", "c", "score"])
 
     return run
 

@@ -328,3 +328,27 @@ def test_a_task_holds_a_bounded_run_of_chunks():
     runs = list(block.frequencies(batch, 2.0))
     assert [r[1] for r in runs] == [2, 2, 2, 1, 1, 1]
     assert [x for r in runs for x in zip((r[0] + r[2]).tolist(), r[4].tolist())] == [(i, 60_000.0) for i in range(7)] + [(7, 300_000.0)]
+
+
+def test_dense_search_sends_k_rows_a_query_and_task(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(dense, "RUN_CELLS", 6)
+    vectors = [[float(i % 7), 1.0] for i in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 25)), pa.array(vectors[i : i + 25])], names=["c", "v"]) for i in (0, 25)]
+
+    class Sent:
+        value = (np.array([1, 2]), np.array([[1.0, 0.0], [-1.0, 0.0]]))
+
+    out = list(dense._search(Sent, 4)(iter(batches)))
+    assert sum(b.num_rows for b in out) == 8
+    assert out[0].column(1).to_pylist() == [6, 13, 20, 27, 0, 7, 14, 21]
+
+
+def test_queries_need_no_shuffle_by_pair(spark):
+    """Candidates and relevant rows that are dealt by query stay where they are."""
+    rows = spark.createDataFrame([(q, d, d) for q in range(3) for d in range(1, 30)], "query_id int, doc_id int, rank int").repartition(4, "query_id")
+    gold = rows.filter("doc_id % 5 = 0").select("query_id", "doc_id")
+    found = sampling.semi_hard_negatives(rows, gold)
+    assert found.count() == 3 * 5 * 10
+    assert "gold_doc#" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines(True) if "Exchange" in x)
