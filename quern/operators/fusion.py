@@ -29,13 +29,34 @@ def rrf(rankings: DataFrame, weights: DataFrame, k: int = V.RRF_K, tie: str = "f
 
 def rrf_configs(rankings: DataFrame, configs: DataFrame, top: int = V.ANSWER_DOCS) -> DataFrame:
     """Named configurations (config, k, branch, weight, depth, branch_order) in one job:
-    (config, query_id, doc_id, score, rank). A depth of 0 takes the whole branch."""
-    joined = rankings.join(F.broadcast(configs), "branch").filter("weight > 0 and (depth <= 0 or rank <= depth)")
-    fused = joined.groupBy("config", "query_id", "doc_id").agg(
-        F.sum(F.col("weight") / (F.col("k") + F.col("rank"))).alias("score"),
-        F.min(F.struct("rank", "branch_order")).alias("__rank"),
-    )
-    return ranked(fused, ("config", "query_id"), _ties("rank_first"), top).drop("__rank")
+    (config, query_id, doc_id, score, rank). A depth of 0 takes the whole branch. A document
+    counts by its best rank in a branch. The configurations are few: each sorts a query's
+    list of documents, so rows are never multiplied by them."""
+    given: dict[str, list] = {}
+    for r in configs.collect():
+        if r["weight"] > 0:
+            given.setdefault(r["config"], []).append(r)
+    used = sorted({r["branch"] for rows in given.values() for r in rows})
+    if not used:
+        return rankings.select(F.lit("").alias("config"), "query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    place = {b: f"r{i}" for i, b in enumerate(used)}
+    wide = rankings.groupBy("query_id", "doc_id").agg(*[F.min(F.when(F.col("branch") == b, F.col("rank"))).alias(c) for b, c in place.items()])
+    lists = wide.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", *place.values())).alias("l"))
+
+    def best(rows: list) -> Column:
+        rank = lambda x, r: F.when(F.lit(r["depth"] <= 0) | (x[place[r["branch"]]] <= r["depth"]), x[place[r["branch"]]])
+
+        def entry(x: Column) -> Column:
+            score = sum((F.coalesce(F.lit(float(r["weight"])) / (F.lit(float(r["k"])) + rank(x, r)), F.lit(0.0)) for r in rows), F.lit(0.0))
+            first = [F.when(rank(x, r).isNotNull(), F.struct(rank(x, r).alias("r"), F.lit(r["branch_order"]).alias("o"))) for r in rows]
+            return F.struct((-F.round(score, 9)).alias("s"), (F.least(*first) if len(first) > 1 else first[0]).alias("f"), x["doc_id"].alias("doc_id"), score.alias("score"))
+
+        found = F.filter(F.transform("l", entry), lambda e: e["f"].isNotNull())
+        return F.transform(F.slice(F.sort_array(found), 1, top), lambda e: F.struct(e["doc_id"].alias("doc_id"), e["score"].alias("score")))
+
+    each = F.array(*[F.struct(F.lit(name).alias("config"), best(rows).alias("l")) for name, rows in given.items()])
+    rows = lists.select("query_id", F.explode(each).alias("x")).select("x.config", "query_id", F.posexplode("x.l").alias("at", "e"))
+    return rows.select("config", "query_id", "e.doc_id", "e.score", (F.col("at") + 1).alias("rank"))
 
 
 def _ties(tie: str) -> list[Column]:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fixed_values as V
-from quern.operators import fusion
 
 
 def hash_order(seed: str, *cols: str) -> Column:
@@ -66,9 +65,13 @@ def semi_hard_negatives(candidates: DataFrame, gold: DataFrame, pool: int = 80,
     rest = candidates.filter(F.col("rank") <= pool).join(gold.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy("rank", "doc_id")
     band = rest.withColumn("place", F.row_number().over(w)).filter(F.col("place").between(first, last))
-    pairs = band.select("query_id", "doc_id").join(gold.select("query_id", F.col("doc_id").alias("gold_doc")).distinct(), "query_id")
-    pick = Window.partitionBy("query_id", "gold_doc").orderBy(hash_order(seed, "query_id", "gold_doc", "doc_id"), "doc_id")
-    chosen = pairs.withColumn("n", F.row_number().over(pick)).filter(F.col("n") <= per_gold).drop("n")
+    # A query's band is a list of ``pool`` ids at most: each relevant document sorts it in its own
+    # hash order, so the pairs are neither shuffled nor sorted on disk.
+    lists = band.groupBy("query_id").agg(F.collect_list("doc_id").alias("__band"))
+    pairs = gold.select("query_id", F.col("doc_id").alias("gold_doc")).distinct().join(lists, "query_id")
+    start = F.concat_ws("|", F.lit(seed), F.col("query_id").cast("string"), F.col("gold_doc").cast("string"))
+    keyed = F.transform("__band", lambda d: F.struct(F.sha1(F.concat_ws("|", start, d.cast("string")).cast("binary")).alias("h"), d.alias("doc_id")))
+    chosen = pairs.select("query_id", "gold_doc", F.explode(F.slice(F.sort_array(keyed), 1, per_gold)).alias("x")).select("query_id", "gold_doc", "x.doc_id")
     return chosen if most is None else chosen.orderBy(hash_order(seed, "query_id", "gold_doc", "doc_id")).limit(most)
 
 
@@ -79,40 +82,41 @@ def band(ranked: DataFrame, first: int = 4, last: int = 40) -> DataFrame:
     return inside.filter(keep).drop("__any")
 
 
-def feature_frame(branches: dict[str, DataFrame], gold: DataFrame, cap: int = 200, inject_gold: bool = True, k: int = V.RRF_K) -> DataFrame:
+def feature_frame(branches: dict[str, DataFrame] | DataFrame, gold: DataFrame, cap: int = 200, inject_gold: bool = True, k: int = V.RRF_K, names: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, doc_id, label, rank and reciprocal rank and score per branch, agreement at 5 and 20).
 
     Candidates are the equal-weight fusion of the branches, at most ``cap`` per query;
-    with ``inject_gold`` relevant documents that are missing replace the tail. One
-    grouped pass aligns the branches instead of a chain of full joins."""
-    spark = gold.sparkSession
-    names = list(branches)
-    stacked = None
-    for name, df in branches.items():
-        one = df.select("query_id", "doc_id", F.lit(name).alias("branch"), "rank", "score")
-        stacked = one if stacked is None else stacked.unionByName(one)
-    weights = spark.createDataFrame([(n, 1.0) for n in names], "branch string, weight double")
-    fused = fusion.rrf(stacked, weights, k, tie="doc_id", top=cap).select("query_id", "doc_id", "rank")
+    with ``inject_gold`` relevant documents that are missing replace the tail. The branches
+    are given one by one, or as long rows (..., branch) with their ``names``. One grouped pass
+    aligns them; fusion, labels and the cut follow on the same rows, by query."""
+    if isinstance(branches, DataFrame):
+        stacked = branches.select("query_id", "doc_id", "branch", "rank", "score").filter(F.col("branch").isin(*names))
+    else:
+        names, stacked = tuple(branches), None
+        for name, df in branches.items():
+            one = df.select("query_id", "doc_id", F.lit(name).alias("branch"), "rank", "score")
+            stacked = one if stacked is None else stacked.unionByName(one)
+    of = lambda n, c: F.when(F.col("branch") == n, F.col(c))
+    per_branch = [e for n in names for e in (F.min(of(n, "rank")).alias(f"{n}_rank"), F.max(of(n, "score")).alias(f"{n}_score"))]
+    score = F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("__fused")
+    wide = stacked.groupBy("query_id", "doc_id").agg(*per_branch, score)
     labels = gold.select("query_id", "doc_id").distinct().withColumn("label", F.lit(1))
+    both = wide.join(labels, ["query_id", "doc_id"], "full" if inject_gold else "left")
+    own = Window.partitionBy("query_id")
+    place = F.row_number().over(own.orderBy(F.desc_nulls_last(F.round("__fused", 9)), F.asc("doc_id")))
+    both = both.withColumn("__rank", F.when(F.col("__fused").isNotNull(), place))
     if inject_gold:
-        lost = labels.join(fused, ["query_id", "doc_id"], "left_anti")
-        room = lost.groupBy("query_id").agg(F.count("*").alias("lost"))
-        kept = fused.join(room, "query_id", "left").filter(F.col("rank") <= F.lit(cap) - F.coalesce("lost", F.lit(0))).select("query_id", "doc_id")
-        known = fused.select("query_id").distinct()
-        fused = kept.unionByName(lost.join(known, "query_id", "left_semi").select("query_id", "doc_id"))
-    per_branch = [
-        expr
-        for n in names
-        for expr in (F.min(F.when(F.col("branch") == n, F.col("rank"))).alias(f"{n}_rank"), F.max(F.when(F.col("branch") == n, F.col("score"))).alias(f"{n}_score"))
-    ]
-    wide = stacked.groupBy("query_id", "doc_id").agg(*per_branch)
-    out = fused.select("query_id", "doc_id").join(wide, ["query_id", "doc_id"], "left").join(labels, ["query_id", "doc_id"], "left")
+        lost = F.col("label").isNotNull() & (F.col("__rank").isNull() | (F.col("__rank") > cap))
+        both = both.withColumn("__lost", lost).withColumns({"__room": F.lit(cap) - F.sum(F.col("__lost").cast("int")).over(own), "__known": F.max("__rank").over(own)})
+        both = both.filter((F.col("__rank") <= F.col("__room")) | (F.col("__lost") & F.col("__known").isNotNull()))
+    else:
+        both = both.filter(F.col("__rank") <= cap)
     rank = lambda n: F.coalesce(F.col(f"{n}_rank"), F.lit(V.MISSING_RANK))
     agreement = lambda d: sum(((rank(n) <= d).cast("int") for n in names), F.lit(0))
     cols = ["query_id", "doc_id", F.coalesce("label", F.lit(0)).alias("label")]
     for n in names:
         cols += [rank(n).alias(f"{n}_rank"), F.coalesce(1.0 / F.col(f"{n}_rank"), F.lit(0.0)).alias(f"{n}_rr"), F.coalesce(f"{n}_score", F.lit(0.0)).alias(f"{n}_score")]
-    return out.select(*cols, agreement(5).alias("agreement_top5"), agreement(20).alias("agreement_top20"))
+    return both.select(*cols, agreement(5).alias("agreement_top5"), agreement(20).alias("agreement_top20"))
 
 
 def missing_positives(frame: DataFrame) -> DataFrame:

@@ -35,19 +35,29 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-    return joined.groupBy(F.col("o_custkey").alias("query_id"), F.col("l_partkey").alias("doc_id")).agg(
+    revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    # Dealt by customer once: all that is grouped, ranked or joined by query follows without another shuffle.
+    rows = joined.select(F.col("o_custkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), "l_quantity", revenue.alias("revenue")).repartition("query_id")
+    return rows.groupBy("query_id", "doc_id").agg(
         F.round(F.sum("l_quantity"), 4).alias("a"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("b"),
+        F.round(F.sum("revenue"), 4).alias("b"),
         F.count("*").cast("double").alias("c"),
     )
 
 
+def ranked_purchases(spark: SparkSession, sf_dir: str, branches: tuple[str, ...] = BRANCHES) -> DataFrame:
+    """(query_id, doc_id, a, b, c, <branch>_rank...): ``purchases`` with the ranks beside each other."""
+    rows = purchases(spark, sf_dir)
+    for b in branches:
+        rows = rows.withColumn(f"{b}_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(b), F.asc("doc_id"))))
+    return rows
+
+
 def rankings(spark: SparkSession, sf_dir: str, branches: tuple[str, ...] = BRANCHES) -> DataFrame:
     """(query_id, doc_id, branch, score, rank)"""
-    stacked = purchases(spark, sf_dir).select("query_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(b).alias("branch"), F.col(b).alias("score")) for b in branches])).alias("x"))
-    rows = stacked.select("query_id", "doc_id", "x.branch", "x.score")
-    w = Window.partitionBy("query_id", "branch").orderBy(F.desc("score"), F.asc("doc_id"))
-    return rows.withColumn("rank", F.row_number().over(w))
+    each = [F.struct(F.lit(b).alias("branch"), F.col(b).alias("score"), F.col(f"{b}_rank").alias("rank")) for b in branches]
+    stacked = ranked_purchases(spark, sf_dir, branches).select("query_id", "doc_id", F.explode(F.array(*each)).alias("x"))
+    return stacked.select("query_id", "doc_id", "x.branch", "x.score", "x.rank")
 
 
 def branch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +68,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id): parts a customer returned."""
     lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("query_id"), F.col("l_partkey").alias("doc_id")).distinct()
+    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("query_id"), F.col("l_partkey").alias("doc_id")).repartition("query_id").distinct()
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
