@@ -39,7 +39,8 @@ def match_form(text: Column, map_d: bool = False) -> Column:
 
 def newlines(text: Column) -> Column:
     """CRLF, CR and the rarer line ends as LF."""
-    return F.regexp_replace(text, "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]", "\n")
+    rare = "[\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+    return F.when(text.rlike(rare), F.regexp_replace(text, "\r\n|" + rare, "\n")).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -47,7 +48,7 @@ def squeeze(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"(?U)\S++"), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

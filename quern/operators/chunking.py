@@ -18,12 +18,31 @@ from quern.functions import text as T
 _ANY = "(?iuU)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A column that a lambda refers to
+    may be inlined there by the optimizer and computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def mended(text: Column, pattern: str, to: str, where: Column | None = None) -> Column:
+    """``regexp_replace`` where the pattern is found. Most texts have nothing to mend, and
+    a search is cheaper than a copy. ``text`` is referred to several times: see ``let``."""
+    return F.when(text.rlike(pattern) if where is None else where, F.regexp_replace(text, pattern, to)).otherwise(text)
+
+
+def strip(text: Column) -> Column:
+    """Without blanks at both ends, which the first and the last character tell."""
+    ends = F.substring(text, 1, 1).rlike(r"(?U)\s") | F.substring(text, -1, 1).rlike(r"(?U)\s")
+    return mended(text, r"(?U)^\s+|\s+$", "", ends)
+
+
 def clean_text(df: DataFrame, text: str, out: str = "clean_text", stats: str | None = "cleaning") -> DataFrame:
     """Drop header and divider lines and a late footer, mend hyphens and broken
     lines, collapse blanks. ``stats`` adds a struct of the six counters."""
     header = _ANY + "|".join(f"(?:{p})" for p in V.HEADER_LINES)
     kind = lambda x: F.when(F.trim(x) == "", 0).when(F.trim(x).rlike(header), 1).when(F.trim(x).rlike("(?U)" + V.DIVIDER_LINE), 2).otherwise(0)
-    lines = F.transform(F.split(F.translate(T.newlines(F.col(text)), "﻿​", ""), "\n"), lambda x: F.struct(F.regexp_replace(x, r"(?U)\s+$", "").alias("line"), kind(x).alias("kind")))
+    plain = let(T.newlines(F.col(text)), lambda x: F.when(x.rlike("[﻿​]"), F.translate(x, "﻿​", "")).otherwise(x))
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.struct(mended(x, r"(?U)\s+$", "").alias("line"), kind(x).alias("kind")))
     df = df.withColumn("__lines", lines)
     kept = F.array_join(F.transform(F.filter("__lines", lambda x: x["kind"] == 0), lambda x: x["line"]), "\n")
     df = df.withColumn("__kept", kept)
@@ -32,17 +51,17 @@ def clean_text(df: DataFrame, text: str, out: str = "clean_text", stats: str | N
     cut = F.when(found & (footer > F.length("__kept") * V.FOOTER_SHARE), footer).otherwise(F.length("__kept"))
     df = df.withColumn("__cut", cut)
     body = F.substring(F.col("__kept"), F.lit(1), F.col("__cut"))
+    hyphens = f"([{V.LETTERS}])- *\n+ *([{V.LETTERS}])"
+    body = let(body, lambda b: mended(b, hyphens, "$1$2", b.rlike("- *\n")))
     steps = (
-        (f"([{V.LETTERS}])- *\n+ *([{V.LETTERS}])", "$1$2"),
         (f"(?<![.!?:;])\n[ \t]*(?=[{V.LOWER_LETTERS}])", " "),
         ("\n{3,}", "\n\n"),
         ("[ \t]{2,}", " "),
-        (" *\n *", "\n"),
-        (r"(?U)^\s+|\s+$", ""),
+        (" +\n *|\n +", "\n"),
     )
     for pattern, to in steps:
-        body = F.regexp_replace(body, pattern, to)
-    df = df.withColumn(out, body)
+        body = let(body, lambda b: mended(b, pattern, to))
+    df = df.withColumn(out, let(body, strip))
     if stats:
         count = lambda k: F.size(F.filter("__lines", lambda x: x["kind"] == k))
         df = df.withColumn(
@@ -124,12 +143,6 @@ def _stack(acc: Column, x: Column) -> Column:
     return F.struct(*now, F.concat(acc["out"], F.array(F.struct(*now))).alias("out"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once. A column that a lambda refers to
-    may be inlined there by the optimizer and computed for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _level(heading: Column, compat: bool) -> Column:
     def of(form: Column) -> Column:
         found = F.lit(None).cast("string")
@@ -144,7 +157,6 @@ def with_sections(df: DataFrame, text: str, out: str = "sections", compat: bool
     """Add array<struct(text, heading, structure)>: the preamble and one section
     from each boundary line to the next; blank ones are left out."""
     boundary = "(?iuU)^\\s*(?:" + "|".join(V.BOUNDARIES) + ")\\s*$"
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     fields = ", ".join(f"{n}: string" for n in V.LEVELS)
     first = F.struct(*[F.lit("").alias(n) for n in V.LEVELS], F.array().cast(f"array<struct<{fields}>>").alias("out"))
 
@@ -158,7 +170,7 @@ def with_sections(df: DataFrame, text: str, out: str = "sections", compat: bool
         def one(i: Column, end: Column) -> Column:
             title = F.get(lines, i)
             return F.struct(
-                strip(F.array_join(F.slice(lines, i + 1, end - i), "\n")).alias("text"),
+                let(F.array_join(F.slice(lines, i + 1, end - i), "\n"), strip).alias("text"),
                 F.when(title.rlike(boundary), T.squeeze(title)).otherwise(F.lit("")).alias("heading"),
             )
 
@@ -174,10 +186,16 @@ def with_sections(df: DataFrame, text: str, out: str = "sections", compat: bool
     return df.withColumn(out, whole)
 
 
+def _given(array: str) -> Column:
+    """The array, to be exploded. Of a bare column the optimizer infers a filter on its
+    size, moves it down to the table and computes the whole column there once more."""
+    return F.when(F.col(array).isNotNull(), F.col(array))
+
+
 def sections(df: DataFrame, doc_id: str, text: str, compat: bool = False) -> DataFrame:
     """(doc_id, section_idx, text, heading, structure), a row per section."""
     found = with_sections(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text", compat=compat)
-    rows = found.select("doc_id", F.posexplode("sections").alias("section_idx", "s"))
+    rows = found.select("doc_id", F.posexplode(_given("sections")).alias("section_idx", "s"))
     return rows.select("doc_id", "section_idx", "s.text", "s.heading", "s.structure")
 
 
@@ -204,7 +222,7 @@ def chunks(df: DataFrame, doc_id: str = "doc_id", name: str = "name", link: str
     """Clean, split into sections and cut long or untitled ones into windows."""
     base = clean_text(df.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("name"), F.col(link).alias("link"), F.col(passage).alias("passage")), "passage", stats=None)
     base = base.withColumns({"metadata": metadata(F.col("name"), F.col("link"), F.col("clean_text")), "clean_checksum": T.sha1(F.col("clean_text"))})
-    cut = with_sections(base, "clean_text").select("doc_id", "name", "metadata", "clean_checksum", F.posexplode("sections").alias("section_idx", "s"))
+    cut = with_sections(base, "clean_text").select("doc_id", "name", "metadata", "clean_checksum", F.posexplode(_given("sections")).alias("section_idx", "s"))
     cut = cut.select("*", "s.text", "s.heading", "s.structure").drop("s")
     cut = cut.withColumn("__words", T.words(F.col("text")))
     n = F.size("__words")
@@ -221,6 +239,6 @@ def chunks(df: DataFrame, doc_id: str = "doc_id", name: str = "name", link: str
     cut = cut.withColumn("text", text)
     return cut.select(
         F.substring(T.sha1(key), 1, 20).alias("chunk_id"), "doc_id", "section_idx", F.col("__w.window_idx").alias("window_idx"),
-        F.col("__w.start").alias("start_word"), F.col("__w.end").alias("end_word"), T.word_count(F.col("__body")).alias("word_count"),
+        F.col("__w.start").alias("start_word"), F.col("__w.end").alias("end_word"), (F.col("__w.end") - F.col("__w.start")).alias("word_count"),
         "heading", "text", T.sha1(F.col("text")).alias("checksum"), "structure", "metadata",
     )

@@ -111,6 +111,21 @@ def test_chunks(spark):
     assert len({r["chunk_id"] for r in rows}) == len(rows)
 
 
+def test_a_text_is_cleaned_and_cut_once(spark, tmp_path):
+    spark.createDataFrame([("a", "N", "", LEGAL)], "doc_id string, name string, link string, passage string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for found in (chunking.chunks(docs).select("chunk_id", "checksum"), chunking.sections(docs, "doc_id", "passage")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter (" not in plan and plan.count("split(") == 2 - ("clean" not in plan)
+
+
+def test_texts_with_and_without_things_to_mend(spark):
+    passages = ["a-\nb - \n\nc", "a \n b\n  c", "x.\r\ny\rz", "\ufeffa\u200b  b\t\tc ", "\u00a0 a\n\n\n\nB\u00a0", "plain", "", None]
+    df = spark.createDataFrame(list(enumerate(passages)), "i int, passage string")
+    found = {r["i"]: r["clean_text"] for r in chunking.clean_text(df, "passage").collect()}
+    assert found == {0: "ab -\nc", 1: "a b c", 2: "x.\ny z", 3: "a b c", 4: "a\n\nB", 5: "plain", 6: "", 7: None}
+
+
 def bm25(chunks, query, k1=1.5, b=0.75, hw=2.0):
     """Brute force over token lists (heading, body)."""
     tfs = []
