@@ -81,14 +81,12 @@ def score_fusion(base: DataFrame, signals: list[str], weights: list[Column | flo
     """Fuse a base ranking (rank) with score columns inside its first ``window`` rows:
     the weighted sum of min-max scaled reciprocal rank and scores, a missing score
     counting 0. Later rows keep their order behind. Ties go by base rank."""
-    head = base.filter(F.col("rank") <= window)
     over = Window.partitionBy(*by)
-    total = F.lit(0.0) + rank_weight * min_max(1.0 / F.col("rank"), over)
+    head = F.col("rank") <= window
+    total = F.lit(0.0) + rank_weight * min_max(F.when(head, 1.0 / F.col("rank")), over)
     for name, weight in zip(signals, weights):
-        total = total + weight * F.coalesce(min_max(F.col(name), over), F.lit(0.0))
-    head = head.withColumn("fused_score", total)
-    tail = base.filter(F.col("rank") > window).withColumn("fused_score", -F.col("rank") * 1e-6)
-    both = head.unionByName(tail)
+        total = total + weight * F.coalesce(min_max(F.when(head, F.col(name)), over), F.lit(0.0))
+    both = base.filter(F.col("rank").isNotNull()).withColumn("fused_score", F.when(head, total).otherwise(-F.col("rank") * 1e-6))
     w = Window.partitionBy(*by).orderBy(F.desc(F.round("fused_score", 9)), F.asc("rank"))
     return both.withColumn("fused_rank", F.row_number().over(w)).filter(F.col("fused_rank") <= top)
 
@@ -104,18 +102,51 @@ def rerank(base: DataFrame, scores: DataFrame, window: int = V.RERANK_DOCS) -> D
 def score_fusion_grid(base: DataFrame, signals: list[str], trials: list[tuple[float, ...]], window: int = V.RERANK_DOCS, top: int = V.TOP_DOCS) -> DataFrame:
     """``score_fusion`` for every trial (rank weight, then a weight per signal): rows
     (trial, ..., fused_score, fused_rank), trials numbered from 0. The signals are scaled
-    once; the trials are crossed in after that, before the last rank."""
-    over = Window.partitionBy("query_id")
-    head = base.filter(F.col("rank") <= window)
-    scaled = head.select("*", min_max(1.0 / F.col("rank"), over).alias("__r"), *[F.coalesce(min_max(F.col(c), over), F.lit(0.0)).alias(f"__{c}") for c in signals])
-    parts = ["__r", *[f"__{c}" for c in signals]]
-    tail = base.filter(F.col("rank") > window).select("*", *[F.lit(None).cast("double").alias(c) for c in parts])
-    names = [f"__w{i}" for i in range(len(parts))]
-    table = base.sparkSession.createDataFrame([(n, *map(float, t)) for n, t in enumerate(trials)], ", ".join(["trial int", *[f"{n} double" for n in names]]))
-    crossed = scaled.unionByName(tail).crossJoin(F.broadcast(table))
-    total = F.lit(0.0)
-    for part, name in zip(parts, names):
-        total = total + F.col(name) * F.col(part)
-    crossed = crossed.withColumn("fused_score", F.when(F.col("rank") <= window, total).otherwise(-F.col("rank") * 1e-6)).drop(*parts, *names)
-    w = Window.partitionBy("trial", "query_id").orderBy(F.desc(F.round("fused_score", 9)), F.asc("rank"))
-    return crossed.withColumn("fused_rank", F.row_number().over(w)).filter(F.col("fused_rank") <= top)
+    once; every trial sorts a query's list, so rows are multiplied by the trials only in the
+    result. The list has the rows in ``window`` and the first ``top`` of those behind, whose
+    order among themselves is the base rank in every trial: no other row is in a result.
+    Without negative weights these follow all rows in ``window`` and are ordered once."""
+    head = F.col("rank") <= window
+    place = F.row_number().over(Window.partitionBy("query_id", F.col("rank") > window).orderBy("rank"))
+    kept = base.filter(F.col("rank").isNotNull()).withColumn("__place", place).filter(head | (F.col("__place") <= top)).drop("__place")
+    cols = [c for c in base.columns if c != "query_id"]
+    values = [1.0 / F.col("rank"), *[F.col(c) for c in signals]]
+    ends = [f(F.when(head, v)).alias(f"__{f.__name__}{i}") for i, v in enumerate(values) for f in (F.min, F.max)]
+    row = F.struct(*cols).alias("row"), *[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)]
+    lists = kept.groupBy("query_id").agg(F.collect_list(F.struct(*row)).alias("__l"), *ends)
+
+    def scaled(x: Column) -> Column:
+        parts = []
+        for i in range(len(values)):
+            lo, hi = F.col(f"__min{i}"), F.col(f"__max{i}")
+            part = F.when(hi - lo < 1e-12, F.lit(0.5)).otherwise((x[f"v{i}"] - lo) / (hi - lo))
+            parts.append(F.coalesce(part, F.lit(0.0)).alias(f"p{i}"))
+        return F.struct(x["row"].alias("row"), (x["row"]["rank"] <= window).alias("head"), *parts)
+
+    table = F.array(*[F.struct(F.lit(n).alias("trial"), *[F.lit(float(w)).alias(f"w{i}") for i, w in enumerate(t)]) for n, t in enumerate(trials)])
+    lists = lists.select("query_id", F.transform("__l", scaled).alias("__l"))
+
+    def rows_of(entries: str, order: Column) -> Column:
+        return F.transform(order, lambda e: F.struct(F.get(F.col(entries), e["i"])["row"].alias("row"), e["s"].alias("s")))
+
+    apart = window >= 0 and all(w >= 0 for t in trials for w in t)
+    if apart:
+        lists = lists.select("query_id", F.filter("__l", lambda x: x["head"]).alias("__l"), F.filter("__l", lambda x: ~x["head"]).alias("__rest"))
+        behind = F.transform("__rest", lambda x, i: F.struct(x["row"]["rank"].alias("r"), i.alias("i"), (-x["row"]["rank"] * 1e-6).alias("s")))
+        lists = lists.withColumn("__rest", rows_of("__rest", F.sort_array(behind)))
+    crossed = lists.select("*", F.explode(table).alias("__t"))
+
+    def scored(x: Column, i: Column) -> Column:
+        total = F.lit(0.0)
+        for n in range(len(values)):
+            total = total + F.col(f"__t.w{n}") * x[f"p{n}"]
+        rank = x["row"]["rank"]
+        return F.struct(F.when(x["head"], total).otherwise(-rank * 1e-6).alias("s"), x["head"].alias("head"), (-rank).alias("r"), i.alias("i"))
+
+    # A millionth of the rank, rounded to nine decimals, is the quotient itself.
+    key = lambda e: F.struct(F.when(e["head"], F.round(e["s"], 9)).otherwise(e["r"] / F.lit(1e6)).alias("k"), e["r"].alias("r"), e["i"].alias("i"), e["s"].alias("s"))
+    best = rows_of("__l", F.sort_array(F.transform(F.transform("__l", scored), key), asc=False))
+    best = F.slice(F.concat(best, "__rest") if apart else best, 1, top)
+    rows = crossed.select("query_id", F.col("__t.trial").alias("trial"), F.posexplode(best).alias("__at", "__e"))
+    given = [F.col("query_id") if c == "query_id" else F.col(f"__e.row.{c}").alias(c) for c in base.columns]
+    return rows.select(*given, "trial", F.col("__e.s").alias("fused_score"), (F.col("__at") + 1).alias("fused_rank"))

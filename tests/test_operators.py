@@ -186,6 +186,23 @@ def test_score_fusion_by_hand(spark):
     assert got == [("d2", 0.8), ("d1", 0.5), ("d3", -0.000003)]
 
 
+@pytest.mark.parametrize("trials", [[(0.3, 0.4, 0.0), (0.5, 0.8, 0.3)], [(0.5, -0.8, 0.0), (-0.1, 0.00001, -0.00002)]])
+def test_score_fusion_grid_equals_each_trial(spark, trials):
+    rows = [(q, f"d{r}", r, None if r % 7 == 3 else float((r * r * q) % 5), float("nan") if (q, r) == (3, 2) else r % 3 / 2.0) for q in range(1, 5) for r in range(q, 30 * q, q)] + [(1, "none", None, 1.0, 1.0)]
+    base = spark.createDataFrame(rows, "query_id int, doc_id string, rank int, s double, t double")
+    found = fusion.score_fusion_grid(base, ["s", "t"], trials, window=12, top=20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Union" not in plan
+    # Rows are multiplied by the trials after the last order.
+    assert plan.count("Generate") == 2 and "Window" not in plan[: plan.rindex("Generate")]
+    cols = ["query_id", "doc_id", "rank", "fused_score", "fused_rank"]
+    for n, (r, *weights) in enumerate(trials):
+        one = fusion.score_fusion(base, ["s", "t"], weights, r, window=12, top=20)
+        assert "Union" not in one._jdf.queryExecution().optimizedPlan().toString()
+        want = sorted(map(str, one.select(*cols).collect()))
+        assert sorted(map(str, found.filter(F.col("trial") == n).select(*cols).collect())) == want and len(want) > 40
+
+
 def test_rerank_keeps_the_tail(spark):
     base = spark.createDataFrame([("q", f"d{i}", i) for i in range(1, 6)], "query_id string, doc_id string, rank int")
     scores = spark.createDataFrame([("q", "d1", 0.1), ("q", "d2", 0.9), ("q", "d5", 9.0)], "query_id string, doc_id string, reranker_score double")
